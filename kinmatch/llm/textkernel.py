@@ -34,7 +34,7 @@ def seed_of(*parts: int) -> np.uint64:
     """One 64-bit seed out of small integers."""
     out = np.array([0x243F6A8885A308D3], dtype=_U64)
     for p in parts:
-        out = mix(out + _U64(p % (1 << 64)) * _U64(_BASE))
+        out = mix(out + _U64(p * _BASE % (1 << 64)))
     return out[0]
 
 
