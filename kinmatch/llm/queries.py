@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinmatch.llm.decontamination import op9_decontamination
 from kinmatch.llm.line_dedup import OP6_SQL, op6_line_dedup
 from kinmatch.llm.near_dup import op1_near_duplicates
 from kinmatch.llm.quality_rules import op7_quality_rules
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
