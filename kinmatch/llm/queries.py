@@ -10,14 +10,19 @@ from kinmatch.llm.decontamination import op9_decontamination
 from kinmatch.llm.line_dedup import OP6_SQL, op6_line_dedup
 from kinmatch.llm.near_dup import op1_near_duplicates
 from kinmatch.llm.quality_rules import op7_quality_rules
+from kinmatch.llm.token_counts import op5_token_counts
+from kinmatch.llm.warc import OP3_SQL, op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op3_warc": op3_warc,
+    "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
 }
