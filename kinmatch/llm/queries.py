@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinmatch.llm.decontamination import op9_decontamination
+from kinmatch.llm.license_scan import op8_license_scan
 from kinmatch.llm.line_dedup import OP6_SQL, op6_line_dedup
 from kinmatch.llm.near_dup import op1_near_duplicates
 from kinmatch.llm.quality_rules import op7_quality_rules
+from kinmatch.llm.secret_scan import op10_secret_scan
 from kinmatch.llm.token_counts import op5_token_counts
 from kinmatch.llm.warc import OP3_SQL, op3_warc
 
@@ -19,7 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
