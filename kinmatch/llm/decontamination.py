@@ -38,7 +38,7 @@ from kinmatch.llm.shared import narrowed
 #: Found by search; ``misses`` proves that no window is lost.
 SEEDS = ((0, 1, 2, 3, 6, 8), (0, 1, 2, 3, 4, 5), (0, 2, 3, 4, 7, 8), (0, 1, 4, 5, 6, 7))
 BLOCK_BYTES = 8 << 20
-_FILTER_BITS = 22
+_FILTER_BITS = 20
 SCHEMA = "doc_id bigint, item_id bigint, n_matched bigint, n_window bigint"
 
 
@@ -84,7 +84,7 @@ class ItemIndex:
     def __init__(self, ids: list[int | None], texts: list[str], p: Overlap) -> None:
         self.p, self.ids = p, pa.array(ids, pa.int64())
         tokens = []
-        for _, data, offsets in tk.chunks(pa.array([t.lower() for t in texts], pa.string())):
+        for _, data, offsets in tk.chunks(pa.array(texts, pa.string()), lower=True):
             w = tk.split_words(data, offsets, tk.PUNCTUATED)
             tokens += np.split(w.hashes, w.bounds[1:-1])
         self.start = np.cumsum([0, *map(len, tokens)])
@@ -155,7 +155,7 @@ class ItemIndex:
 def contaminated(docs: DataFrame, items: DataFrame, p: Overlap = Overlap(), doc_col: str = "doc_id", doc_text: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, n_matched, n_window) for every text and test item that overlap as far as asked for."""
     spark = docs.sparkSession
-    docs = narrowed(docs, doc_id=doc_col, text=doc_text).selectExpr("cast(doc_id as bigint) doc_id", "lower(text) text")
+    docs = narrowed(docs, doc_id=doc_col, text=doc_text).selectExpr("cast(doc_id as bigint) doc_id", "text")
     items = narrowed(items, item_id=item_col, text=item_text).selectExpr("cast(item_id as bigint) item_id", "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -169,7 +169,7 @@ def contaminated(docs: DataFrame, items: DataFrame, p: Overlap = Overlap(), doc_
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                for first, data, offsets in tk.chunks(batch.column(1)):
+                for first, data, offsets in tk.chunks(batch.column(1), lower=True):
                     w = tk.split_words(data, offsets, tk.PUNCTUATED)
                     doc, item, best, window = index.search(w.hashes, w.bounds)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + first)), index.ids.take(pa.array(item)), pa.array(best.astype(np.int64)), pa.array(window.astype(np.int64))], names=["doc_id", "item_id", "n_matched", "n_window"])

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 _U64 = np.uint64
@@ -89,7 +90,16 @@ class Words:
         return np.repeat(np.arange(self.n_docs), np.diff(self.bounds))
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a large_string array without nulls."""
+    n = len(texts)
+    _, off_buf, data_buf = texts.buffers()
+    off = np.frombuffer(off_buf, dtype=np.int64, count=n + 1, offset=texts.offset * 8)
+    data = np.frombuffer(data_buf, dtype=np.uint8) if data_buf and data_buf.size else np.zeros(0, np.uint8)
+    return data, off
+
+
+def chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of whole rows; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -97,13 +107,15 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     n = len(texts)
     if not n:
         return
-    _, off_buf, data_buf = texts.buffers()
-    off = np.frombuffer(off_buf, dtype=np.int64, count=n + 1, offset=texts.offset * 8)
-    data = np.frombuffer(data_buf, dtype=np.uint8) if data_buf and data_buf.size else np.zeros(0, np.uint8)
+    data, off = _buffers(texts)
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(off, off[first] + CHUNK_BYTES, side="right")) - 1)
-        yield first, data[off[first] : off[last]], off[first : last + 1] - off[first]
+        if lower:
+            part, at = _buffers(pc.utf8_lower(texts.slice(first, last - first)))
+            yield first, part[at[0] : at[-1]], at - at[0]
+        else:
+            yield first, data[off[first] : off[last]], off[first : last + 1] - off[first]
         first = last
 
 
