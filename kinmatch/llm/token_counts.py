@@ -16,6 +16,8 @@ A failed run appends nothing: Spark commits the append as one job.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,25 +26,88 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmatch.llm import textkernel as tk
 from kinmatch.llm.shared import narrowed, new_folder
 
 _CACHE = "content binary, tokenizer binary, n_tokens bigint"
 #: Distinct misses up to this many are sent to all tasks (40 bytes each), so that a warm cache moves no text.
 BROADCAST_ROWS = 200_000
-_BATCH_BYTES = 1 << 20
 
 
 class Counter:
-    """Counts as the tokenizers library gives them: no added specials, truncation or padding."""
+    """Counts as the tokenizers library gives them: no added specials, truncation or padding.
+
+    A byte-level pre-tokenizer never joins what stands before a single space with what follows, if both are no white
+    space. Such texts are cut there, and a worker encodes each distinct piece once; a text's count is the sum of its
+    pieces'. Other tokenizers get whole texts.
+    """
+
+    #: Pieces that a worker remembers, at most (16 bytes each).
+    REMEMBERED = 2_000_000
 
     def __init__(self, spec: str) -> None:
         self.tokenizer = tokenizers.Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.separable = separable(spec)
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
+    def encoded(self, texts: list[str]) -> np.ndarray:
         return np.array([len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], dtype=np.int64)
 
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        out = np.zeros(len(texts), dtype=np.int64)
+        for first, data, offsets in tk.chunks(texts):
+            rows = slice(first, first + len(offsets) - 1)
+            if not self.separable:
+                raw = data.tobytes()
+                out[rows] = self.encoded([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+                continue
+            starts = np.unique(np.concatenate([offsets[:-1], cuts(data)]))
+            starts = starts[starts < len(data)]
+            ends = np.append(starts[1:], len(data))
+            counts = self._remembered(data, starts, ends)
+            out[rows] = tk.sum_by(np.searchsorted(starts, offsets), counts)
+        return out
+
+    def _remembered(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        keys, where, back = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        counts = np.zeros(len(keys), dtype=np.int64)
+        counts[known] = self.counts[at[known]]
+        new = np.flatnonzero(~known)
+        raw = data.tobytes()
+        for lo in range(0, len(new), 4096):
+            part = new[lo : lo + 4096]
+            counts[part] = self.encoded([raw[a:b].decode() for a, b in zip(starts[where[part]], ends[where[part]], strict=True)])
+        if len(self.keys) + len(new) > self.REMEMBERED:
+            self.keys, self.counts = keys, counts
+        elif len(new):
+            self.keys = np.insert(self.keys, at[new], keys[new])
+            self.counts = np.insert(self.counts, at[new], counts[new])
+        return counts[back]
+
+
+def separable(spec: str) -> bool:
+    """Whether texts may be cut before single spaces: byte-level pre-tokenization with its own pattern and nothing before it."""
+    model = json.loads(spec)
+    before = model.get("pre_tokenizer") or {}
+    specials = [t for t in model.get("added_tokens", []) if any(c.isspace() for c in t["content"]) or t.get("lstrip") or t.get("rstrip")]
+    return model.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not specials
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places of single spaces between two characters that are surely no white space."""
+    at = np.flatnonzero(data == 0x20)
+    at = at[(at > 1) & (at < len(data) - 1)]
+    last, lead, following = data[at - 1], data[at - 2], data[at + 1]
+    # no white space begins with C3..DF; in ASCII all that isn't printable stays uncut
+    left = (last > 0x20) & (last < 0x7F) | (last >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF)
+    right = (following > 0x20) & (following < 0x7F) | (following >= 0xC3) & (following <= 0xDF)
+    return at[left & right]
+
 
 def version_of(spec: str) -> bytes:
     return hashlib.sha256(f"tokenizers {tokenizers.__version__}\n{spec}".encode()).digest()
@@ -75,18 +140,10 @@ def token_counts(docs: DataFrame, cache: str, tokenizer_file: str, limit: int =
     sent = spark.sparkContext.broadcast(spec)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         count = Counter(sent.value)
         for batch in batches:
-            column = batch.column(1)
-            size = np.cumsum(pa.compute.binary_length(column).to_numpy(zero_copy_only=False))
-            lo = 0
-            while lo < len(size):
-                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _BATCH_BYTES, side="right")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count(column.slice(lo, hi - lo).to_pylist()))], names=["content", "n_tokens"])
-                lo = hi
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count(batch.column(1)))], names=["content", "n_tokens"])
 
     counted = todo.select("content", "text").mapInArrow(encode, "content binary, n_tokens bigint")
     counted.select("content", F.lit(bytearray(version)).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
