@@ -10,6 +10,7 @@ from kinmatch.llm.decontamination import op9_decontamination
 from kinmatch.llm.license_scan import op8_license_scan
 from kinmatch.llm.line_dedup import OP6_SQL, op6_line_dedup
 from kinmatch.llm.near_dup import op1_near_duplicates
+from kinmatch.llm.pii import op4_pii
 from kinmatch.llm.piece_sampling import op2_piece_sampling
 from kinmatch.llm.quality_rules import op7_quality_rules
 from kinmatch.llm.secret_scan import op10_secret_scan
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_piece_sampling": op2_piece_sampling,
     "op3_warc": op3_warc,
+    "op4_pii": op4_pii,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
