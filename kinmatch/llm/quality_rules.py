@@ -158,6 +158,19 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc
     return narrowed(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def kept_documents(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the rules keep."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in tk.chunks(batch.column(at)):
+                kept = measure(data, offsets, limits)["kept"]
+                yield batch.slice(first, len(kept)).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the method's verdict for every whole text of ``documents``."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -55,3 +55,15 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
 def narrowed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the wanted columns, under the operator's own names, so that extra columns can't clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+#: Ids that are taken out are sent to all tasks up to this many (8 bytes each); beyond it both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
+    """Rows of docs whose doc_id isn't among ids (doc_id); a null id stays."""
+    ids = materialise(ids.select("doc_id").where("doc_id is not null").distinct(), folder)
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
