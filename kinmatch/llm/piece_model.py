@@ -18,7 +18,8 @@ _MARK = "▁"
 class Lattice:
     """Edges of all strings, grouped by the place where they begin; place i of data is node i."""
 
-    begin: np.ndarray  # edges of node i: begin[i]:begin[i + 1]
+    begin: np.ndarray  # edges of node i: begin[i]:stop[i]
+    stop: np.ndarray
     source: np.ndarray
     to: np.ndarray
     piece: np.ndarray  # -1: the character's bytes
@@ -134,7 +135,7 @@ class PieceModel:
         n = len(data)
         if not n:
             none = np.zeros(0, dtype=np.int64)
-            return Lattice(np.zeros(1, np.int64), none, none, none.astype(np.int32), none.astype(float), none.astype(float), np.zeros(1))
+            return Lattice(none, none, none, none, none.astype(np.int32), none.astype(float), none.astype(float), none.astype(float))
         lead = (data & 0xC0) != 0x80
         at = np.flatnonzero(lead)
         ends = np.append(starts[1:], n)
@@ -146,57 +147,62 @@ class PieceModel:
         alone = np.zeros(n, dtype=bool)
         width_at = np.zeros(n, dtype=np.int64)
         width_at[at] = width
-        src, dst, piece = [], [], []
+        src, dst, piece, rank = [], [], [], []
+        edges = np.zeros(n, dtype=np.int32)  # of each node so far
         while len(own):
             state = self._next(state, data[here])
             go = state >= 0
             own, here, state, stop = own[go], here[go] + 1, state[go], stop[go]
             hit = self.end[state] >= 0
-            src.append(own[hit])
-            dst.append(here[hit])
+            a, b = own[hit], here[hit]
+            src.append(a)
+            dst.append(b)
             piece.append(self.end[state[hit]])
-            one = own[hit][here[hit] - own[hit] == width_at[own[hit]]]
-            alone[one] = True
+            rank.append(edges[a])
+            edges[a] += 1
+            alone[a[b - a == width_at[a]]] = True
             more = here < stop
             own, here, state, stop = own[more], here[more], state[more], stop[more]
         bare = at[~alone[at]]
         src.append(bare)
         dst.append(bare + width_at[bare])
         piece.append(np.full(len(bare), -1, dtype=np.int32))
-        src, dst, piece = np.concatenate(src), np.concatenate(dst), np.concatenate(piece)
-        order = np.argsort(src, kind="stable")
-        src, dst, piece = src[order], dst[order], piece[order]
-        score = np.where(piece >= 0, self.weight[piece], self.unknown)
-        begin = np.searchsorted(src, np.arange(n + 1))
-        # sums over paths, from the strings' ends backwards, all strings at a time
-        total = np.zeros(n + 1)
-        inner = np.zeros(n + 1)  # the weight after an edge; 0 where it ends its string
+        rank.append(edges[bare])
+        edges[bare] += 1
+        # nodes in order of their distance from their string's end, so that sums over paths go over slices of edges
         far = (end_of - np.arange(n))[at]
-        turn = np.argsort(far, kind="stable")
-        nodes = at[turn]
-        edges = np.diff(np.append(0, np.flatnonzero(np.diff(far[turn], append=-1)) + 1))
-        count = begin[nodes + 1] - begin[nodes]
+        turn = np.argsort(far.astype(np.uint16) if far.max() < 1 << 16 else far, kind="stable")
+        nodes, far = at[turn], far[turn]
+        count = edges[nodes].astype(np.int64)
         first = np.cumsum(count) - count
-        flat = np.repeat(begin[nodes] - first, count) + np.arange(count.sum())
-        lo = 0
-        final = dst == end_of[src]
-        for size in edges:
-            some = nodes[lo : lo + size]
-            a, b = first[lo], first[lo + size - 1] + count[lo + size - 1]
-            e = flat[a:b]
-            value = score[e] + np.where(final[e], 0.0, inner[np.minimum(dst[e], n)])
-            cut = first[lo : lo + size] - a
+        begin = np.zeros(n, dtype=np.int64)
+        stop = np.zeros(n, dtype=np.int64)
+        begin[nodes], stop[nodes] = first, first + count
+        source, piece_of, to = np.empty(count.sum(), np.int64), np.empty(count.sum(), np.int32), np.empty(count.sum(), np.int64)
+        for a, b, c, r in zip(src, dst, piece, rank, strict=True):
+            place = begin[a] + r
+            source[place], to[place], piece_of[place] = a, b, c
+        src, dst, piece = source, to, piece_of
+        score = np.where(piece >= 0, self.weight[piece], self.unknown)
+        total = np.zeros(n + 1)
+        after = np.where(dst == end_of[src], n, dst)  # nothing follows an edge that ends its string
+        share = np.empty(len(src))
+        level = np.append(np.flatnonzero(np.diff(far, prepend=-1)), len(nodes))
+        for lo, hi in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
+            a, b = first[lo], first[hi - 1] + count[hi - 1]
+            cut, own = first[lo:hi] - a, count[lo:hi]
+            value = score[a:b] + total[after[a:b]]
             most = np.maximum.reduceat(value, cut)
-            owner = np.repeat(np.arange(size), count[lo : lo + size])
-            inner[some] = most + np.log(np.add.reduceat(np.exp(value - most[owner]), cut))
-            lo += size
-        total[:n] = inner[:n]
-        part = np.exp(score + np.where(final, 0.0, inner[np.minimum(dst, n)]) - inner[src])
-        run = np.concatenate([[0.0], np.cumsum(part)])
-        share = run[1:] - run[begin[src]]
-        last = begin[at + 1] - 1
-        share[last] = 1.0  # whatever rounding leaves
-        return Lattice(begin, src, dst, piece, score, share, total)
+            value -= np.repeat(most, own)
+            np.exp(value, out=value)
+            added = np.add.reduceat(value, cut)
+            total[nodes[lo:hi]] = most + np.log(added)
+            value /= np.repeat(added, own)
+            np.cumsum(value, out=value)
+            value -= np.repeat(np.concatenate([[0.0], value[cut[1:] - 1]]), own)
+            share[a:b] = value
+        share[first + count - 1] = 1.0  # whatever rounding leaves
+        return Lattice(begin, stop, src, dst, piece, score, share, total[:n])
 
     def ids(self, lattice: Lattice, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Ids of a path of edges over data: a piece's id, or the ids of a character's bytes."""

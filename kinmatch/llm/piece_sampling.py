@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,8 +68,20 @@ def _uniform(key: np.ndarray, *parts) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+_MASK = (1 << 64) - 1
+
+
 def _one(key: int, *parts: int) -> float:
-    return float(_uniform(np.array([key], dtype=np.uint64), *parts)[0])
+    """``_uniform`` of one key, in plain integers."""
+    h = key
+    for p in parts:
+        h = (h + p * 0x9E3779B97F4A7C15 + 1) & _MASK
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & _MASK
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & _MASK
+        h ^= h >> 31
+    return ((h >> 11) + 0.5) * 2.0**-53
 
 
 def walk(lattice: Lattice, node: np.ndarray, end: np.ndarray, key: np.ndarray, sample: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,14 +95,11 @@ def walk(lattice: Lattice, node: np.ndarray, end: np.ndarray, key: np.ndarray, s
     while len(live):
         u = _uniform(key[live], np.uint64(step))
         e = lattice.begin[at[live]]
-        only[live] &= lattice.begin[at[live] + 1] == e + 1
-        left = np.arange(len(live))
-        while True:
-            left = left[u[left] >= lattice.share[e[left]]]
-            left = left[e[left] + 1 < lattice.begin[at[live[left]] + 1]]
-            if not len(left):
-                break
+        only[live] &= lattice.stop[at[live]] == e + 1
+        left = np.flatnonzero(u >= lattice.share[e])
+        while len(left):  # the last edge's share is 1
             e[left] += 1
+            left = left[u[left] >= lattice.share[e[left]]]
         steps.append(e)
         owners.append(live)
         log_p[live] += lattice.score[e]
@@ -113,6 +123,14 @@ def truncated(phi: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.where(np.isneginf(phi), -np.inf, out)
 
 
+def _truncated(phi: float, most: float, u: float) -> float:
+    """``truncated`` of one number."""
+    if phi == -math.inf:
+        return phi
+    a, b = phi - most, math.log(-math.log(u))
+    return phi - (max(a, b) + math.log1p(math.exp(-abs(a - b))))
+
+
 def log_rest(log_p: np.ndarray, only: np.ndarray) -> np.ndarray:
     """log(1 - exp(log_p)), at least 1e-300 unless the path is the only one."""
     return np.where(only, -np.inf, np.log(np.maximum(-np.expm1(np.minimum(log_p, 0)), 1e-300)))
@@ -123,18 +141,25 @@ def _other_path(lattice: Lattice, node: int, end: int, without: list[tuple[int,
     edges: list[int] = []
     log_p, at = -float(lattice.total[node]), node
     while at < end:
-        lo, hi = int(lattice.begin[at]), int(lattice.begin[at + 1])
-        mass = np.diff(lattice.share[lo:hi], prepend=0.0)
+        lo, hi = int(lattice.begin[at]), int(lattice.stop[at])
+        run = lattice.share[lo:hi].tolist()
+        mass = [y - x for x, y in zip([0.0, *run[:-1]], run, strict=True)]
         for x in without:
             if len(x) > len(edges) and list(x[: len(edges)]) == edges:
                 rest = x[len(edges) :]
-                mass[rest[0] - lo] -= np.exp(sum(float(lattice.score[e]) for e in rest) - float(lattice.total[at]))
-        mass = np.maximum(mass, 0)
+                mass[rest[0] - lo] -= math.exp(sum(lattice.score[list(rest)].tolist()) - float(lattice.total[at]))
         for k, e in enumerate(range(lo, hi)):  # an edge all of whose paths are taken has no mass, whatever rounding leaves
             if mass[k] < 1e-13 and _all_taken(lattice, edges + [e], int(lattice.to[e]), end, without):
-                mass[k] = 0
-        run = np.cumsum(mass)
-        e = lo + min(int(np.searchsorted(run, _one(key, sample, place, 1 << 40, len(edges)) * run[-1], side="right")), int(np.flatnonzero(mass)[-1]))
+                mass[k] = -1.0
+            else:
+                mass[k] = max(mass[k], 1e-300)
+        free = [k for k in range(hi - lo) if mass[k] > 0]
+        left = _one(key, sample, place, 1 << 40, len(edges)) * sum(mass[k] for k in free)
+        for k in free:
+            left -= mass[k]
+            if left < 0:
+                break
+        e = lo + k
         edges.append(e)
         log_p += float(lattice.score[e])
         at = int(lattice.to[e])
@@ -146,7 +171,7 @@ def _all_taken(lattice: Lattice, edges: list[int], at: int, end: int, without: l
     some = [x for x in without if list(x[: len(edges)]) == edges]
     if at >= end:
         return bool(some)
-    return bool(some) and all(_all_taken(lattice, [*edges, e], int(lattice.to[e]), end, some) for e in range(int(lattice.begin[at]), int(lattice.begin[at + 1])))
+    return bool(some) and all(_all_taken(lattice, [*edges, e], int(lattice.to[e]), end, some) for e in range(int(lattice.begin[at]), int(lattice.stop[at])))
 
 
 def top_k(lattice: Lattice, node: np.ndarray, end: np.ndarray, bounds: np.ndarray, keys: np.ndarray, k: int) -> list[list[Sample]]:
@@ -173,7 +198,7 @@ def top_k(lattice: Lattice, node: np.ndarray, end: np.ndarray, bounds: np.ndarra
             # what is left of the entry: the same string's other paths
             gone = [*taken, tuple(edges)]
             phi = float(path.log_p[:free].sum()) + _left(lattice, int(node[i]), int(end[i]), gone)
-            v = float(truncated(np.array([phi]), np.array([value]), np.array([_one(int(keys[d]), sample, free, 1 << 42)]))[0])
+            v = _truncated(phi, value, _one(int(keys[d]), sample, free, 1 << 42))
             if v > -np.inf:
                 heapq.heappush(queue[d], (-v, sample - 1, free, gone))
         if not todo:
@@ -189,20 +214,26 @@ def top_k(lattice: Lattice, node: np.ndarray, end: np.ndarray, bounds: np.ndarra
         right = np.searchsorted(tail, bounds[chosen + 1])
         noise = _uniform(keys[owner[tail]], np.full(len(tail), sample), place[tail], np.uint64(1 << 43))
         rest = log_rest(log_p, only)
+        # the maxima of the parts: one for each free string of each text
+        base = np.array([t[4].sum() for t in todo])
+        row = np.repeat(np.arange(len(todo)), right - left)
+        run = np.cumsum(log_p) - log_p
+        before = run - run[np.minimum(left, max(len(run) - 1, 0))][row] + base[row] if len(run) else run
+        v = truncated(before + rest, np.array([t[5] for t in todo])[row], noise)
+        some = np.flatnonzero(right > left)
+        for _ in range(k + 1 - sample if len(some) else 0):  # so many more can be taken from this path, the threshold among them
+            most = np.maximum.reduceat(v, left[some])
+            at = np.flatnonzero(v == np.repeat(most, (right - left)[some]))
+            at = at[np.unique(row[at], return_index=True)[1]]
+            for j, value in zip(at.tolist(), v[at].tolist(), strict=True):
+                if value > -np.inf:
+                    d, free = todo[row[j]][:2]
+                    heapq.heappush(queue[d], (-value, sample - 1, free + j - int(left[row[j]]), [tuple(edges[begin[j] : begin[j + 1]].tolist())]))
+            v[at] = -np.inf
         prefix = []
         for (d, free, head, head_begin, head_p, value), a, b in zip(todo, left.tolist(), right.tolist(), strict=True):
             path = Path(np.concatenate([head, edges[begin[a] : begin[b]]]), np.concatenate([head_begin[:-1], begin[a : b + 1] - begin[a] + len(head)]), np.concatenate([head_p, log_p[a:b]]))
-            total = float(path.log_p.sum())
-            done[d].append((path, total, value))
-            need = k + 1 - sample  # so many more entries can be taken from this path, the threshold among them
-            if b > a:
-                before = head_p.sum() + np.cumsum(log_p[a:b]) - log_p[a:b]
-                v = truncated(before + rest[a:b], np.full(b - a, value), noise[a:b])
-                best = np.argpartition(-v, need - 1)[:need] if b - a > need else np.arange(b - a)
-                for j in best.tolist():
-                    if v[j] > -np.inf:
-                        w = free + j
-                        heapq.heappush(queue[d], (-float(v[j]), sample - 1, w, [tuple(path.edges[path.begin[w] : path.begin[w + 1]].tolist())]))
+            done[d].append((path, float(path.log_p.sum()), value))
             if sample < k and queue[d]:
                 v, parent, w, taken = heapq.heappop(queue[d])
                 prefix.append((d, w, done[d][parent][0], -v, taken))
@@ -217,8 +248,8 @@ def _left(lattice: Lattice, node: int, end: int, taken: list[tuple[int, ...]]) -
     """log of the share of a string's paths that aren't taken."""
     if _all_taken(lattice, [], node, end, taken):
         return -np.inf
-    share = sum(np.exp(sum(float(lattice.score[e]) for e in x) - float(lattice.total[node])) for x in taken)
-    return float(np.log(max(1 - share, 1e-300)))
+    share = sum(math.exp(sum(lattice.score[list(x)].tolist()) - float(lattice.total[node])) for x in taken)
+    return math.log(max(1 - share, 1e-300))
 
 
 def _log_inclusion(log_p: float, threshold: float) -> float:
