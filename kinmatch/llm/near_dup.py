@@ -47,6 +47,10 @@ class OrderMinHash:
     seed: int = 1
 
 
+#: Ids of texts to be compared are sent to all tasks up to this many (8 bytes each); beyond it texts are shuffled to them.
+BROADCAST_ROWS = 1_000_000
+
+
 def sketches(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray]:
     """A 128-bit digest of each text's word sequence (n, 2), and a key for each text and sketch (n, n_sketches)."""
     docs = words.n_docs
@@ -91,10 +95,17 @@ def sketches(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray]:
     return digest, keys
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with one of the ids (doc_id, distinct, a written table)."""
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_semi")
+
+
 def _sketched(docs: DataFrame, p: OrderMinHash) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in tk.chunks(batch.column(1)):
+            for first, data, offsets in tk.chunks(batch.column(1), lower=True):
                 words = tk.split_words(data, offsets, tk.PUNCTUATED)
                 digest, keys = sketches(words, p)
                 n = words.n_docs
@@ -102,13 +113,14 @@ def _sketched(docs: DataFrame, p: OrderMinHash) -> DataFrame:
                 columns = [batch.column(0).slice(first, n), pa.array(digest[:, 0].copy().view(np.int64)), pa.array(digest[:, 1].copy().view(np.int64)), pa.array(np.diff(words.bounds)), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n_words", "keys"])
 
-    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(run, "doc_id bigint, d1 bigint, d2 bigint, n_words bigint, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, d1 bigint, d2 bigint, n_words bigint, keys array<bigint>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, p: OrderMinHash) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, p: OrderMinHash, folder: str) -> DataFrame:
     """The pairs (a, b) whose texts are as similar as asked for."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", F.lower("text").alias("text"))
+    left, right = (pairs.select(F.col(side).alias("doc_id")).distinct() for side in ("a", "b"))
+    ids = materialise(left.unionByName(right).distinct(), f"{folder}/ids")
+    texts = _texts(docs, ids)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -120,7 +132,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: OrderMinHash) -> DataFrame:
                 sides = []
                 for name in ("text_a", "text_b"):
                     side: list[np.ndarray] = []
-                    for _, data, offsets in tk.chunks(part.column(name)):
+                    for _, data, offsets in tk.chunks(part.column(name), lower=True):
                         w = tk.split_words(data, offsets, tk.PUNCTUATED)
                         side += np.split(w.hashes | np.uint64(1), w.bounds[1:-1])
                     sides.append(side)
@@ -149,7 +161,7 @@ def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: s
     centres = members.where("id = centre").select("key", F.col("n").alias("m")).distinct()
     star = members.where("id <> centre").join(centres, "key").where(near_length).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     star = materialise(star, f"{folder}/star")
-    links = materialise(_verified(star, docs, p), f"{folder}/links")
+    links = materialise(_verified(star, docs, p, f"{folder}/star-texts"), f"{folder}/links")
     roots = materialise(components(links, f"{folder}/first"), f"{folder}/roots")
 
     # pairs inside a bucket that the first links leave in different components
@@ -164,7 +176,7 @@ def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: s
     cross = small.join(marked, "key").where((F.col("rx") != F.col("root")) & near_length & ((F.col("root") == F.col("largest")) | (F.col("x") < F.col("id"))))
     cross = cross.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
     cross = materialise(cross.join(star, ["a", "b"], "left_anti"), f"{folder}/cross")
-    more = materialise(_verified(cross, docs, p), f"{folder}/more")
+    more = materialise(_verified(cross, docs, p, f"{folder}/cross-texts"), f"{folder}/more")
     roots = materialise(components(links.unionByName(more), f"{folder}/second"), f"{folder}/classes")
 
     copies = nodes.select("d1", "d2", "copy_of").join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left").select("d1", "d2", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
