@@ -12,8 +12,14 @@ the distance being exact (banded alignment with a growing band).
 Exact copies (equal word sequences) are one node from the start. Inside a bucket
 every text is first compared with the smallest id only; after components of
 these links are known, the pairs of a bucket that lie in different components
-are compared too, so no pair of candidates is lost, while groups of copies never
-expand into pairs.
+are compared too, so groups of copies never expand into pairs. A bucket in which
+more than ``crowd`` texts lie outside its largest component holds texts that
+share a passage and little else: they are sketched again with ``crowd_ell``
+shingles and ``crowd_sketches`` sketches; there, too, one text of each bucket is
+compared with the others first, then all pairs of components still different. Inside a bucket only those pairs are
+compared that an alignment of the shared shingle leaves within reach: the words
+before it and the words after it may not differ in number by more than the
+distance allowed.
 
 Defined results: null and empty texts have the same (empty) word sequence and
 are copies of each other; a text under five words is one shingle; a null id gets
@@ -25,11 +31,11 @@ gives an empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm import alignment
@@ -44,6 +50,9 @@ class OrderMinHash:
     n_sketches: int = 24
     ell: int = 3
     similarity: float = 0.8
+    crowd: int = 32
+    crowd_ell: int = 14
+    crowd_sketches: int = 160
     seed: int = 1
 
 
@@ -51,11 +60,29 @@ class OrderMinHash:
 BROADCAST_ROWS = 1_000_000
 
 
-def sketches(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit digest of each text's word sequence (n, 2), and a key for each text and sketch (n, n_sketches)."""
+def _smallest(h: np.ndarray, doc: np.ndarray, begin: np.ndarray, count: np.ndarray, ell: int, limit: np.ndarray) -> np.ndarray:
+    """Places of the ell smallest hashes of each text (-1 where it has fewer), in order of place."""
+    likely = h <= limit
+    few = np.flatnonzero(np.add.reduceat(likely, begin, dtype=np.int64) < np.minimum(count, ell))
+    if len(few):  # the limit left too few: take these texts whole
+        likely |= np.isin(doc, few)
+    at = np.flatnonzero(likely)
+    order = np.lexsort((h[at], doc[at]))
+    at = at[order]
+    rank = np.arange(len(at)) - np.searchsorted(doc[at], doc[at])
+    at, rank = at[rank < ell], rank[rank < ell]
+    out = np.full((len(begin), ell), -1, dtype=np.int64)
+    out[doc[at], rank] = at
+    out.sort(axis=1)
+    return out
+
+
+def sketches(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: a 128-bit digest of its word sequence, and for each sketch a key and the place of its first shingle in words."""
     docs = words.n_docs
     n_words = np.diff(words.bounds)
     keys = np.zeros((docs, p.n_sketches), dtype=np.uint64)
+    places = np.zeros((docs, p.n_sketches), dtype=np.int32)
     digest = np.zeros((docs, 2), dtype=np.uint64)
     place = np.arange(len(words.hashes)) - np.repeat(words.bounds[:-1], n_words)
     for j in range(2):
@@ -76,23 +103,18 @@ def sketches(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(np.append(begin, len(doc)))
     label = tk.occurrence(doc, shingle)
     labelled = shingle + tk.mix((label + 1).astype(np.uint64)) * (label > 0).astype(np.uint64)
-    most = np.uint64((1 << 64) - 1)
+    share = np.minimum(1.0, (2.5 * p.ell + 8) / count)  # so many of a text's hashes hold its ell smallest nearly always
+    limit = np.where(share < 1, share * 2.0**63 * 2, 0).astype(np.uint64)
+    limit[share >= 1] = np.uint64((1 << 64) - 1)
+    limit = limit[doc]
     for s in range(p.n_sketches):
-        h = tk.mix(labelled ^ tk.seed_of(p.seed, s))
-        picks = np.zeros((docs, p.ell), dtype=np.int64)
-        for e in range(p.ell):
-            least = np.minimum.reduceat(h, begin)
-            at = np.flatnonzero(h == least[doc])
-            picks[doc[at[::-1]], e] = at[::-1]  # the first of equal ones
-            h[picks[:, e]] = most
-        # texts of fewer shingles than ell pick some twice: they count once
-        picks = np.where(np.arange(p.ell) < count[:, None], picks, -1)
-        picks.sort(axis=1)
+        picks = _smallest(tk.mix(labelled ^ tk.seed_of(p.seed, s)), doc, begin, count, p.ell, limit)
         key = np.full(docs, tk.seed_of(p.seed, s, 99), dtype=np.uint64)
         for e in range(p.ell):
             key = np.where(picks[:, e] >= 0, tk.mix(key * np.uint64(3) + shingle[picks[:, e]]), key)
         keys[:, s] = key
-    return digest, keys
+        places[:, s] = first[np.where(picks >= 0, picks, len(first)).min(axis=1)] - words.bounds[:-1]
+    return digest, keys, places
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -107,13 +129,14 @@ def _sketched(docs: DataFrame, p: OrderMinHash) -> DataFrame:
         for batch in batches:
             for first, data, offsets in tk.chunks(batch.column(1), lower=True):
                 words = tk.split_words(data, offsets, tk.PUNCTUATED)
-                digest, keys = sketches(words, p)
+                digest, keys, places = sketches(words, p)
                 n = words.n_docs
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p.n_sketches), pa.array(keys.view(np.int64).ravel()))
+                ends = pa.array(np.arange(n + 1, dtype=np.int32) * p.n_sketches)
+                lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(places.ravel())], names=["key", "place"]))
                 columns = [batch.column(0).slice(first, n), pa.array(digest[:, 0].copy().view(np.int64)), pa.array(digest[:, 1].copy().view(np.int64)), pa.array(np.diff(words.bounds)), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n_words", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, d1 bigint, d2 bigint, n_words bigint, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, d1 bigint, d2 bigint, n_words bigint, keys array<struct<key:bigint,place:int>>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, p: OrderMinHash, folder: str) -> DataFrame:
@@ -144,6 +167,52 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: OrderMinHash, folder: str) -
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _reach(p: OrderMinHash) -> Column:
+    """Whether the words before and after the shared shingle (place of n words, q of m) leave an alignment within reach."""
+    before = F.col("place") - F.col("q")
+    return F.abs(before) + F.abs(F.col("n") - F.col("m") - before) <= F.greatest("n", "m") * (1 - p.similarity) + 1e-9
+
+
+def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with their component; a node without links is its own."""
+    return members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _star(placed: DataFrame, p: OrderMinHash) -> DataFrame:
+    """Pairs (a, b) of every bucket's centre with its members of other components."""
+    centres = placed.where("id = centre").select("key", F.col("n").alias("m"), F.col("place").alias("q"), F.col("root").alias("rx")).distinct()
+    pairs = placed.where("id <> centre").join(centres, "key").where((F.col("root") != F.col("rx")) & _reach(p))
+    return pairs.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with the largest component and the number of members outside it."""
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    placed = placed.join(mixed, "key")
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), (F.sum("size") - F.max("size")).alias("others"))
+    return placed.join(largest, "key")
+
+
+def _cross(mixed: DataFrame, p: OrderMinHash) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket."""
+    small = mixed.where("root <> largest").select("key", F.col("id").alias("x"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("root").alias("rx"))
+    # each pair of two smaller components once; a pair with the largest component from the smaller one's side
+    pairs = small.join(mixed, "key").where((F.col("rx") != F.col("root")) & _reach(p) & ((F.col("root") == F.col("largest")) | (F.col("x") < F.col("id"))))
+    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+
+
+def _buckets(nodes: DataFrame, folder: str, any_centre: bool = False) -> DataFrame:
+    """(key, id, n, place, centre) of the nodes (id, n, keys) that agree with another in a sketch.
+
+    A bucket's centre is its smallest id or, with any_centre, one that differs from bucket to bucket.
+    """
+    banded = nodes.select("id", "n", F.explode("keys").alias("k")).select("id", "n", "k.key", "k.place")
+    centre = F.min(F.struct(F.xxhash64("key", "id"), "id"))["id"] if any_centre else F.min("id")
+    shared = banded.groupBy("key").agg(centre.alias("centre"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "centre")
+    return materialise(banded.join(shared, "key").select("key", "id", "n", "place", "centre"), folder)
+
+
 def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest id of its class), copy_of (the smallest id of equal words), n_words."""
     spark = docs.sparkSession
@@ -152,32 +221,29 @@ def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: s
     rows = materialise(_sketched(docs, p), f"{folder}/sketches")
     nodes = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("copy_of"), F.first("n_words").alias("n"), F.first("keys").alias("keys"))
     nodes = nodes.where("copy_of is not null")
-    banded = nodes.select(F.col("copy_of").alias("id"), "n", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre < other").select("key", "centre")
-    members = materialise(banded.join(shared, "key").select("key", "id", "n", "centre"), f"{folder}/buckets")
-    gap = 1 - p.similarity
-
-    near_length = F.abs(F.col("n") - F.col("m")) <= F.greatest("n", "m") * gap + 1e-9
-    centres = members.where("id = centre").select("key", F.col("n").alias("m")).distinct()
-    star = members.where("id <> centre").join(centres, "key").where(near_length).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    star = materialise(star, f"{folder}/star")
+    members = _buckets(nodes.select(F.col("copy_of").alias("id"), "n", "keys"), f"{folder}/buckets")
+    star = materialise(_star(members.withColumn("root", F.col("id")), p), f"{folder}/star")
     links = materialise(_verified(star, docs, p, f"{folder}/star-texts"), f"{folder}/links")
     roots = materialise(components(links, f"{folder}/first"), f"{folder}/roots")
 
-    # pairs inside a bucket that the first links leave in different components
-    placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    placed = materialise(placed.join(mixed, "key"), f"{folder}/mixed")
-    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
-    marked = placed.join(largest, "key")
-    small = marked.where("root <> largest").select("key", F.col("id").alias("x"), F.col("n").alias("m"), F.col("root").alias("rx"))
-    # each pair of two smaller components once; a pair with the largest component from the smaller one's side
-    cross = small.join(marked, "key").where((F.col("rx") != F.col("root")) & near_length & ((F.col("root") == F.col("largest")) | (F.col("x") < F.col("id"))))
-    cross = cross.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    cross = materialise(cross.join(star, ["a", "b"], "left_anti"), f"{folder}/cross")
+    # crowded buckets: finer sketches, with other centres in every bucket
+    mixed = materialise(_mixed(_placed(members, roots)), f"{folder}/mixed")
+    crowded = materialise(mixed.where(f"others > {p.crowd}").select(F.col("id").alias("doc_id")).distinct(), f"{folder}/crowded")
+    finer = replace(p, ell=p.crowd_ell, n_sketches=p.crowd_sketches, seed=p.seed + 1)
+    again = _sketched(_texts(docs, crowded), finer).select(F.col("doc_id").alias("id"), F.col("n_words").alias("n"), "keys")
+    again = _buckets(again, f"{folder}/finer", any_centre=True)
+    more_star = materialise(_star(_placed(again, roots), p), f"{folder}/finer-star")
+    more_links = materialise(_verified(more_star, docs, p, f"{folder}/finer-star-texts"), f"{folder}/finer-links")
+    links = links.unionByName(more_links)
+    roots = materialise(components(links, f"{folder}/second"), f"{folder}/finer-roots")
+
+    # pairs of a bucket that are still in different components
+    seen = star.unionByName(more_star)
+    cross = _cross(_mixed(_placed(mixed.where(f"others <= {p.crowd}").select("key", "id", "n", "place"), roots)), p)
+    cross = cross.unionByName(_cross(_mixed(_placed(again.drop("centre"), roots)), p)).distinct().join(seen, ["a", "b"], "left_anti")
+    cross = materialise(cross, f"{folder}/cross")
     more = materialise(_verified(cross, docs, p, f"{folder}/cross-texts"), f"{folder}/more")
-    roots = materialise(components(links.unionByName(more), f"{folder}/second"), f"{folder}/classes")
+    roots = materialise(components(links.unionByName(more), f"{folder}/third"), f"{folder}/classes")
 
     copies = nodes.select("d1", "d2", "copy_of").join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left").select("d1", "d2", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
     out = rows.select("doc_id", "d1", "d2", "n_words").join(copies, ["d1", "d2"], "left")
