@@ -337,7 +337,7 @@ def rerank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH {_INDEX_SQL}, solved AS (SELECT r.*, common >= 6 AS ok FROM ranked r WHERE rank <= {TOP_FOR_TRUTH})
-SELECT 'f' || s.f0 || ':x' AS f, 'g' || f1 AS g, CAST(format('{{:.6f}}', score) AS DOUBLE) AS score FROM solved s JOIN idx ON idx.f0 = s.f0 WHERE match_index >= 0 AND ok AND CAST(format('{{:.6f}}', score) AS DOUBLE) > 0""")
+SELECT 'f' || s.f0 || ':x' AS f, 'g' || f1 AS g, round(score, 6) AS score FROM solved s JOIN idx ON idx.f0 = s.f0 WHERE match_index >= 0 AND ok AND round(score, 6) > 0""")
 def report_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings written as a report and parsed again: solved results of positive score of functions with a counterpart."""
     top = _ranking(spark, sf_dir, TOP_FOR_TRUTH).select("f0", F.concat(F.lit("g"), F.col("f1").cast("string")).alias("g"), "rank", "score", "diff", (F.col("common") >= 6).alias("solved"))
