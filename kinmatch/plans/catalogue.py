@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from kinmatch.functions import expr_udfs
 from kinmatch.functions.names import normalised
 from kinmatch.functions.scalars import classified, jaccard
-from kinmatch.operators import graph, matching, merge, paths, ranking, similarity
+from kinmatch.operators import blocks, graph, matching, merge, paths, ranking, similarity
 from kinmatch.operators.alignment import aligned_paths
 from kinmatch.plans import adapters as ad
+from kinmatch.plans import compare
 from kinmatch.sources import report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -427,3 +428,99 @@ def ite_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, q = F.col("l_linenumber"), F.col("l_quantity")
     value = F.when((n == 1) & (q < 10), n).when(q < 25, n + 7).otherwise(0xFFF777)
     return ad.table(spark, sf_dir, "lineitem").select("l_returnflag", value.cast("bigint").alias("v")).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@_query("""SELECT f0, f1, round(sum(lcs) / CAST(sum(length) AS DOUBLE), 6) AS score FROM (
+  SELECT a.l_returnflag AS f0, b.l_returnflag AS f1, a.p AS p, least(a.n, b.n) AS lcs, a.n AS length
+  FROM (SELECT l_returnflag, l_linenumber AS p, count(*) AS n FROM lineitem GROUP BY 1, 2) a JOIN (SELECT l_returnflag, l_linenumber AS p, count(*) AS n FROM lineitem GROUP BY 1, 2) b USING (p)) GROUP BY 1, 2""")
+def path_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed alignment over summed length of paths, here line numbers with their counts."""
+    n = ad.table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_linenumber").alias("p")).agg(F.count("*").alias("n"))
+    a, b = n.select(F.col("l_returnflag").alias("f0"), "p", F.col("n").alias("length")), n.select(F.col("l_returnflag").alias("f1"), "p", "n")
+    both = a.join(b, "p").select("f0", "f1", F.least("length", "n").alias("lcs"), "length")
+    return ranking.path_score(both).withColumn("score", F.round("score", 6))
+
+
+_ENDS_SQL = """ends0 AS (SELECT user_id AS i, arg_max(event_type, (ts, event_id)) AS name FROM events GROUP BY 1),
+ends1 AS (SELECT CAST(n_nationkey AS BIGINT) AS j, CASE n_nationkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'click' WHEN 2 THEN 'view' WHEN 3 THEN 'error' WHEN 4 THEN 'purchase' WHEN 5 THEN 'signup' ELSE 'other' END AS name FROM nation)"""
+
+
+@_query(f"""WITH {_ENDS_SQL} SELECT i, j FROM ends0 a JOIN ends1 b ON a.name = b.name OR a.name IS NULL OR b.name IS NULL OR (a.name IN ('click', 'view') AND b.name IN ('click', 'view'))""")
+def similar_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces and nations whose last names are alike: equal, of one class, or unknown."""
+    e = ad.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("i")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("name"))
+    name = F.element_at(F.array(*[F.lit(x) for x in (None, "click", "view", "error", "purchase", "signup", "other")]), F.col("n_nationkey") % 7 + 1)
+    n = ad.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("j"), name.alias("name"))
+    return similarity.similar_ends(e, n, ad.Rules(classes=(("click", "view"),), groups=(), stop=(), prefix=""))
+
+
+@_query(f"WITH {ad.SEGMENTS_SQL} SELECT label, count(*) AS n, string_agg(info, ',' ORDER BY info) AS infos FROM (SELECT label, user_id || ':' || seg_no AS info FROM segs) GROUP BY label")
+def collect_relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every kind of segment all traces that hold it."""
+    segs = _segments(spark, sf_dir).select(F.array_join(F.transform("items", lambda i: i["event_type"]), ">").alias("label"), F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("seg_no").cast("string")).alias("info"))
+    return blocks.relatives(segs, ["label"], "info").select("label", "n", F.array_join("infos", ",").alias("infos"))
+
+
+@_query("SELECT event_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 12)")
+def reliable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of users with few errors."""
+    e = ad.table(spark, sf_dir, "events")
+    return blocks.reliable(e.where("event_type = 'view'").select("user_id", "event_id"), e.where("event_type = 'error'").select("user_id"), ["user_id"], 12).select("event_id")
+
+
+@_query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS registers FROM lineitem WHERE l_returnflag || l_linestatus NOT IN ('NO') GROUP BY l_orderkey")
+def written_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct flags of an order's lines, without the skipped ones."""
+    w = ad.table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("register"))
+    return blocks.written_registers(w, ["l_orderkey"], ["NO"]).withColumn("registers", F.array_join("registers", ","))
+
+
+@_query("SELECT user_id, props AS rhs, min(event_id) AS pos FROM events GROUP BY 1, 2")
+def distinct_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each text of a user's properties."""
+    return blocks.distinct_memory_formulas(ad.table(spark, sf_dir, "events").select("user_id", F.col("props").alias("rhs"), F.col("event_id").alias("pos")), ["user_id"])
+
+
+@_query("""SELECT user_id, coalesce(min(pos) FILTER (ok), count(*)) AS first_valid FROM (SELECT user_id, value > 40 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) GROUP BY user_id""")
+def valid_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of the first block in a trace that has something to compare."""
+    e = ad.steps(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") > 40).alias("ok")))), lambda s: s["ok"]).alias("flags"))
+    return e.select("user_id", blocks.first_valid(F.col("flags")).alias("first_valid"))
+
+
+@_query(f"""WITH {ad.TOKENS_SQL} SELECT item_id, n_name FROM (SELECT f0 AS item_id, count(*) AS n FROM item_tok GROUP BY f0) JOIN nation ON n_nationkey = n % 25""")
+def names_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers replaced by names."""
+    n = ad.items(spark, sf_dir).select(F.col("f0").alias("item_id"), (F.size("feats") % 25).alias("n_nationkey"))
+    return n.join(ad.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey").select("item_id", "n_name")
+
+
+@_query()
+def trace_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far traces run before recursion, a loop or their length stops them."""
+    step = F.when(F.col("event_type") == "signup", F.concat(F.lit("call "), (F.col("value") > 20).cast("string"))).when(F.col("event_type") == "purchase", "ret").otherwise(F.col("event_type"))
+    e = ad.steps(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", step.alias("s")))), lambda x: x["s"]).alias("steps"))
+    return e.withColumn("r", blocks.limited("steps")).select("user_id", "r.n_steps", "r.reason")
+
+
+@_query()
+def capped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths through the trade graph, at most eight from a nation at a time; paths that end in a loop are kept."""
+    e = ad.edges(spark, sf_dir)
+    roots = ad.table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").cast("bigint").alias("node"))
+    out = graph.simple_paths(e, roots, max_paths=8, keep_loops=True)
+    return out.select("root", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.size("path").cast("bigint").alias("n_nodes"))
+
+
+@_query()
+def compare_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two programs made of conversations: users' turns against the answers; features are words, formulas follow a turn's length."""
+    c = ad.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    words = similarity.tokens(F.concat_ws(" ", F.collect_list("text")))
+    name = F.element_at(F.split(F.lower("text"), " "), -1)
+    op = F.element_at(F.array(*[F.lit(x) for x in ("add", "xor", "and")]), F.length("text") % 3 + 1)
+    formula = F.format_string("(%s a:8 %d:8)", op, F.length("text") % 5)
+    side = lambda cond, f: (c.where(cond).groupBy(F.col("conv_id").alias(f)).agg(words.alias("feats")), c.where(cond).select(F.col("conv_id").alias(f), F.col("turn").alias("no"), F.when(F.length("text") % 4 > 0, name).alias("name"), formula.alias("formula")))
+    (f0, p0), (f1, p1) = side("role = 'user'", "f0"), side("role <> 'user'", "f1")
+    out = compare.compared(f0, f1, p0, p1, compare.Comparison(gate=0.05, rules=ad.WORD_RULES))
+    return compare.ranked_comparison(out, 5).select("f0", "f1", F.round("score", 6).alias("score"), F.round("diff", 6).alias("diff"), F.col("rank").cast("bigint").alias("rank"))
