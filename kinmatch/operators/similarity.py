@@ -25,22 +25,19 @@ def tokens(text) -> "F.Column":
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), " ", -1), lambda t: t != ""))
 
 
-def common_counts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(f0, f1, common) of left (f0, feats) and right (f1, feats) pairs that share a feature."""
-    a = left.select("f0", F.explode("feats").alias("feat"))
-    b = right.select("f1", F.explode("feats").alias("feat"))
+def jaccard_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(f0, f1, common, n0, n1, score) of all pairs of left (f0, feats) and right (f1, feats) that share a feature.
+
+    Set sizes travel with the features, so each side is read once and the only shuffle is that of counts already
+    combined in each task.
+    """
+    a = left.select("f0", F.size("feats").alias("n0"), F.explode("feats").alias("feat"))
+    b = right.select("f1", F.size("feats").alias("n1"), F.explode("feats").alias("feat"))
     if small_enough(a, BROADCAST_ROWS):
         a = F.broadcast(a)
     elif small_enough(b, BROADCAST_ROWS):
         b = F.broadcast(b)
-    return a.join(b, "feat").groupBy("f0", "f1").agg(F.count("*").alias("common"))
-
-
-def jaccard_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(f0, f1, common, n0, n1, score) of all pairs of entities (id, feats) that share a feature."""
-    n0 = left.select("f0", F.size("feats").alias("n0"))
-    n1 = right.select("f1", F.size("feats").alias("n1"))
-    pairs = common_counts(left, right).join(n0, "f0").join(n1, "f1")
+    pairs = a.join(b, "feat").groupBy("f0", "f1", "n0", "n1").agg(F.count("*").alias("common"))
     return pairs.select("f0", "f1", "common", "n0", "n1", jaccard_of_counts(F.col("common"), F.col("n0"), F.col("n1")).alias("score"))
 
 
