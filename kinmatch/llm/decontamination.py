@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm import textkernel as tk
-from kinmatch.llm.shared import narrowed
+from kinmatch.llm.shared import narrowed, tidy
 
 #: Found by search; ``misses`` proves that no window is lost.
 SEEDS = ((0, 1, 2, 3, 6, 8), (0, 1, 2, 3, 4, 5), (0, 2, 3, 4, 7, 8), (0, 1, 4, 5, 6, 7))
@@ -174,7 +174,7 @@ def contaminated(docs: DataFrame, items: DataFrame, p: Overlap = Overlap(), doc_
                     doc, item, best, window = index.search(w.hashes, w.bounds)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + first)), index.ids.take(pa.array(item)), pa.array(best.astype(np.int64)), pa.array(window.astype(np.int64))], names=["doc_id", "item_id", "n_matched", "n_window"])
 
-        out = out.unionByName(docs.mapInArrow(run, SCHEMA))
+        out = out.unionByName(docs.mapInArrow(tidy(run), SCHEMA))
     return out
 
 

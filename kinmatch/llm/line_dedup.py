@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm import cuckoo
-from kinmatch.llm.shared import narrowed, new_folder
+from kinmatch.llm.shared import narrowed, new_folder, tidy
 
 LEAST = 10
 #: Filters are sent to all tasks only up to this size in all; beyond it the exact join does without them.
@@ -216,7 +216,7 @@ class LineStore:
                         keep[order[lo:hi]] = f.contains(keys[order[lo:hi]])
                 yield batch.filter(pa.array(keep)).select(batch.schema.names[:-1])
 
-        return lines.mapInArrow(test, schema)
+        return lines.mapInArrow(tidy(test), schema)
 
 
 def line_dedup(docs: DataFrame, store: LineStore) -> DataFrame:
@@ -248,7 +248,8 @@ OP6_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, line, lower_key FROM (
     SELECT doc_id, pos, line, translate(trim(line, E' 	
-'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key
+
+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key
     FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)
   )
 ), shared AS (

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from kinmatch.llm import alignment
 from kinmatch.llm import textkernel as tk
 from kinmatch.llm.components import components
-from kinmatch.llm.shared import materialise, narrowed, new_folder
+from kinmatch.llm.shared import materialise, narrowed, new_folder, tidy
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def _sketched(docs: DataFrame, p: OrderMinHash) -> DataFrame:
                 columns = [batch.column(0).slice(first, n), pa.array(digest[:, 0].copy().view(np.int64)), pa.array(digest[:, 1].copy().view(np.int64)), pa.array(np.diff(words.bounds)), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n_words", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, d1 bigint, d2 bigint, n_words bigint, keys array<struct<key:bigint,place:int>>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, d1 bigint, d2 bigint, n_words bigint, keys array<struct<key:bigint,place:int>>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, p: OrderMinHash, folder: str) -> DataFrame:
@@ -164,7 +164,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: OrderMinHash, folder: str) -
                 near = alignment.within(list(zip(*sides, strict=True)), most) >= 0
                 yield part.filter(pa.array(near)).select(["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    return both.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def _reach(p: OrderMinHash) -> Column:

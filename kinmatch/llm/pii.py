@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinmatch.llm import char_tagger as ct
 from kinmatch.llm import textkernel as tk
-from kinmatch.llm.shared import narrowed
+from kinmatch.llm.shared import narrowed, tidy
 
 Span = tuple[int, int, str]  # start, end, kind
 KINDS = ct.KINDS
@@ -361,7 +361,7 @@ def personal_data(docs: DataFrame, tagger: ct.Tagger | None = None, windows: Win
                     more.append(len(new))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *map(pa.array, counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return narrowed(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
+    return narrowed(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kinmatch.llm import textkernel as tk
-from kinmatch.llm.shared import narrowed
+from kinmatch.llm.shared import narrowed, tidy
 
 
 @dataclass(frozen=True)
@@ -155,7 +155,7 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc
                 out = measure(data, offsets, limits)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(offsets) - 1), *[pa.array(v) if v.dtype.kind != "U" else pa.array(v.tolist(), pa.string()) for v in out.values()]], names=["doc_id", *out])
 
-    return narrowed(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
+    return narrowed(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def kept_documents(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text") -> DataFrame:
@@ -168,7 +168,7 @@ def kept_documents(docs: DataFrame, limits: Limits = Limits(), text_col: str = "
                 kept = measure(data, offsets, limits)["kept"]
                 yield batch.slice(first, len(kept)).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

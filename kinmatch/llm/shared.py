@@ -8,13 +8,20 @@ temporary folder of this machine stands in.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -52,6 +59,32 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory of this process back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow in bounded memory.
+
+    It gives its memory back when its task ends, as idle workers of earlier stages stay alive for a while. If the session
+    has Spark's own batch size of 10,000 rows, batches become smaller: whole texts are long rows.
+    """
+    session = SparkSession.getActiveSession()
+    if session and session.conf.get(_BATCH_ROWS) == "10000":
+        session.conf.set(_BATCH_ROWS, "1000")
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def narrowed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the wanted columns, under the operator's own names, so that extra columns can't clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -8,14 +8,14 @@ document is larger).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -99,8 +99,9 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off
 
 
-def chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) for runs of whole rows; a null is an empty text."""
+def chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK_BYTES, change: Callable[[pa.Array], pa.Array] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) for runs of whole rows, lower-cased or changed otherwise; a null is an empty text."""
+    change = pc.utf8_lower if lower else change
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_string())
@@ -110,9 +111,9 @@ def chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarr
     data, off = _buffers(texts)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(off, off[first] + CHUNK_BYTES, side="right")) - 1)
-        if lower:
-            part, at = _buffers(pc.utf8_lower(texts.slice(first, last - first)))
+        last = max(first + 1, int(np.searchsorted(off, off[first] + size, side="right")) - 1)
+        if change:
+            part, at = _buffers(change(texts.slice(first, last - first)))
             yield first, part[at[0] : at[-1]], at - at[0]
         else:
             yield first, data[off[first] : off[last]], off[first : last + 1] - off[first]

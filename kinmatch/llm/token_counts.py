@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm import textkernel as tk
-from kinmatch.llm.shared import narrowed, new_folder
+from kinmatch.llm.shared import narrowed, new_folder, tidy
 
 _CACHE = "content binary, tokenizer binary, n_tokens bigint"
 #: Distinct misses up to this many are sent to all tasks (40 bytes each), so that a warm cache moves no text.
@@ -145,7 +145,7 @@ def token_counts(docs: DataFrame, cache: str, tokenizer_file: str, limit: int =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count(batch.column(1)))], names=["content", "n_tokens"])
 
-    counted = todo.select("content", "text").mapInArrow(encode, "content binary, n_tokens bigint")
+    counted = todo.select("content", "text").mapInArrow(tidy(encode), "content binary, n_tokens bigint")
     counted.select("content", F.lit(bytearray(version)).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     known = read_cache(spark, cache, version)
     rows = texts.select("doc_id", "content", F.octet_length("text").cast("bigint").alias("n_bytes"))

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm.shared import narrowed, new_folder
+from kinmatch.llm.shared import narrowed, new_folder, tidy
 
 LEAST = 1000
 ARCHIVE_BYTES = 64 << 20
@@ -129,7 +129,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, date: str
         if out is not None:
             yield closed()
 
-    typed(narrowed(pages, page_id="page_id", url="url", html="html"), least).mapInArrow(write, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
+    typed(narrowed(pages, page_id="page_id", url="url", html="html"), least).mapInArrow(tidy(write), INDEX).write.mode("overwrite").parquet(f"{folder}/index")
     return pages.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -176,7 +176,7 @@ def read_records(selected: DataFrame, folder: str, with_payload: bool = True) ->
                         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
                 lo = hi
 
-    return dealt.mapInArrow(read, RECORD)
+    return dealt.mapInArrow(tidy(read), RECORD)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
