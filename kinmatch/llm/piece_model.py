@@ -102,7 +102,7 @@ class PieceModel:
     def normalised(self, texts: pa.Array) -> pa.Array:
         """Texts as the lattice sees them: a space before a text that isn't empty, and marks as spaces."""
         texts = pc.replace_substring(texts.fill_null(""), _MARK, " ")
-        return pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise("", texts, " "))
+        return pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(pa.scalar("", texts.type), texts, pa.scalar(" ", texts.type)))
 
     def strings(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where the strings begin that texts fall apart into."""
@@ -137,7 +137,7 @@ class PieceModel:
             none = np.zeros(0, dtype=np.int64)
             return Lattice(none, none, none, none, none.astype(np.int32), none.astype(float), none.astype(float), none.astype(float))
         lead = (data & 0xC0) != 0x80
-        at = np.flatnonzero(lead)
+        at = np.flatnonzero(lead).astype(np.int32 if n < 1 << 31 else np.int64)
         ends = np.append(starts[1:], n)
         end_of = np.repeat(ends, ends - starts)
         width = np.diff(np.append(at, n))
@@ -178,14 +178,15 @@ class PieceModel:
         begin = np.zeros(n, dtype=np.int64)
         stop = np.zeros(n, dtype=np.int64)
         begin[nodes], stop[nodes] = first, first + count
-        source, piece_of, to = np.empty(count.sum(), np.int64), np.empty(count.sum(), np.int32), np.empty(count.sum(), np.int64)
+        source, piece_of, to = (np.empty(count.sum(), np.int32) for _ in range(3))
         for a, b, c, r in zip(src, dst, piece, rank, strict=True):
             place = begin[a] + r
             source[place], to[place], piece_of[place] = a, b, c
+        del rank
         src, dst, piece = source, to, piece_of
         score = np.where(piece >= 0, self.weight[piece], self.unknown)
         total = np.zeros(n + 1)
-        after = np.where(dst == end_of[src], n, dst)  # nothing follows an edge that ends its string
+        after = np.where(dst == end_of[src], dst.dtype.type(n), dst)  # nothing follows an edge that ends its string
         share = np.empty(len(src))
         level = np.append(np.flatnonzero(np.diff(far, prepend=-1)), len(nodes))
         for lo, hi in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):

@@ -38,8 +38,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinmatch.llm import textkernel as tk
 from kinmatch.llm.piece_model import Lattice, PieceModel
-from kinmatch.llm.shared import narrowed
+from kinmatch.llm.shared import narrowed, release, tidy
 
+#: Strings are told apart, and their lattices built, once for so many bytes of text.
+CHUNK_BYTES = 1 << 19
 SCHEMA = "doc_id bigint, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
 
 
@@ -261,8 +263,7 @@ def _log_inclusion(log_p: float, threshold: float) -> float:
 
 def sampled(model: PieceModel, texts: pa.Array, keys: np.ndarray, k: int, seed: int) -> Iterator[tuple[int, Sample, np.ndarray, str]]:
     """(row, sample, ids, text as it should decode) of every row's samples, in order."""
-    normal = model.normalised(texts)
-    for first, data, offsets in tk.chunks(normal):
+    for first, data, offsets in tk.chunks(texts, size=CHUNK_BYTES, change=model.normalised):
         starts = model.strings(data, offsets)
         ends = np.append(starts[1:], len(data))[: len(starts)]
         _, where, back = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
@@ -293,6 +294,7 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = 2, theta: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel(sent.value, theta)
+        release()  # building the trie takes more than keeping it
         for batch in batches:
             given = batch.column(0)
             keys = given.fill_null(0).to_numpy(zero_copy_only=False)
@@ -314,7 +316,7 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = 2, theta: fl
                 yield _batch(given, rows, digests)
 
     schema = SCHEMA if not digests else SCHEMA.replace("ids array<int>", "n_pieces bigint, ids_sha256 string, decoded_equal boolean")
-    return narrowed(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
+    return narrowed(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def _batch(given: pa.Array, rows: list[tuple], digests: bool) -> pa.RecordBatch:
@@ -339,7 +341,7 @@ def decoded(samples: DataFrame, model_file: str) -> DataFrame:
             texts = [model.decode(np.array(x if x is not None else [], dtype=np.int64)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "sample", "text"])
 
-    return samples.select("doc_id", "sample", "ids").mapInArrow(run, "doc_id bigint, sample int, text string")
+    return samples.select("doc_id", "sample", "ids").mapInArrow(tidy(run), "doc_id bigint, sample int, text string")
 
 
 def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
