@@ -253,4 +253,4 @@ def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: s
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id")
