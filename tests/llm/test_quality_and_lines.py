@@ -129,3 +129,28 @@ def test_cuckoo_filter(n):
 def test_full_filter_says_so():
     with pytest.raises(cuckoo.FilterFull):
         cuckoo.CuckooFilter(4).insert(np.arange(1, 40, dtype=np.uint64))
+
+
+def coverage(t: str, limits: Limits) -> tuple[float, float]:
+    """Shares of characters inside repeated n-grams (the worst n), and in the most frequent short n-gram (the worst n)."""
+    w = WORD.findall(t)
+    chars = sum(map(len, w)) or 1
+    worst = top = 0.0
+    for n, _ in limits.duplicate_ngrams:
+        count = collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+        inside = {p for k in range(len(w) - n + 1) if count[tuple(w[k : k + n])] > 1 for p in range(k, k + n)}
+        worst = max(worst, sum(len(w[p]) for p in inside) / chars)
+    for n, _ in limits.top_ngrams:
+        count = collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+        best = max(((c, c * sum(map(len, g)) if c >= limits.top_least_times else 0) for g, c in count.items()), default=(0, 0))
+        top = max(top, best[1] / chars)
+    return worst, top
+
+
+def test_coverage_matches_brute_force(spark):
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["a", "bb", "ccc", "dd é", "e\n"]) for _ in range(r.randrange(60))) for _ in range(150)]
+    texts += [text(r, 60) + " " + " ".join(["go on now"] * r.randrange(5)) for _ in range(30)]
+    for row in quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect():
+        worst, top = coverage(texts[row["doc_id"]], Limits())
+        assert row["dup_ngram_share"] == pytest.approx(worst) and row["top_ngram_share"] == pytest.approx(top)
