@@ -5,21 +5,22 @@ digits, lower-cased), each labelled with its occurrence number, so that they are
 distinct. For every sketch the ``ell`` labelled shingles of smallest hash are
 taken and put in the order of the text: two texts agree in a sketch only if they
 share these shingles in the same order, which makes the sketch sensitive to edit
-similarity. Texts that agree in a sketch are candidates; a candidate is a link if
-``1 - distance / longer length`` of the word sequences is at least ``similarity``,
-the distance being exact (banded alignment with a growing band).
+similarity.
+Texts that agree in a key are candidates; a candidate is
+a link if ``1 - distance / longer length`` of the word sequences is at least
+``similarity``, the distance being exact (banded alignment with a growing band).
 
 Exact copies (equal word sequences) are one node from the start. Inside a bucket
 every text is first compared with the smallest id only; after components of
-these links are known, the pairs of a bucket that lie in different components
-are compared too, so groups of copies never expand into pairs. A bucket in which
-more than ``crowd`` texts lie outside its largest component holds texts that
-share a passage and little else: they are sketched again with ``crowd_ell``
-shingles and ``crowd_sketches`` sketches; there, too, one text of each bucket is
-compared with the others first, then all pairs of components still different. Inside a bucket only those pairs are
-compared that an alignment of the shared shingle leaves within reach: the words
-before it and the words after it may not differ in number by more than the
-distance allowed.
+these links are known, texts of buckets that hold several components meet other
+centres in ``turns`` turns, and at last the pairs of a bucket that still lie in
+different components are compared, so groups of copies never expand into pairs. No bucket is left
+out: crowded ones (texts that share a passage and little else) are joined in
+blocks of about ``crowd`` texts, and a pair is dropped before its texts are read
+only where it can't be a link or can't come of this key: the words before the
+shared shingle and the words after it may not differ in number by more than the
+distance allowed, and a change of one word changes at most two of the parities
+of word counts in ``64 * PARITIES`` classes of words.
 
 Defined results: null and empty texts have the same (empty) word sequence and
 are copies of each other; a text under five words is one shingle; a null id gets
@@ -31,7 +32,7 @@ gives an empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +51,16 @@ class OrderMinHash:
     n_sketches: int = 24
     ell: int = 3
     similarity: float = 0.8
-    crowd: int = 32
-    crowd_ell: int = 14
-    crowd_sketches: int = 160
+    crowd: int = 1024
+    turns: int = 2
     seed: int = 1
 
 
+#: 64-bit words that hold a text's parities of word counts.
+PARITIES = 4
+_SIGNATURE = [f"s{i}" for i in range(PARITIES)]
+
+
 #: Ids of texts to be compared are sent to all tasks up to this many (8 bytes each); beyond it texts are shuffled to them.
 BROADCAST_ROWS = 1_000_000
 
@@ -117,6 +122,14 @@ def sketches(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray,
     return digest, keys, places
 
 
+def parities(words: tk.Words) -> np.ndarray:
+    """Of each text, for each of 64 * PARITIES classes of words, whether an odd number of its words falls into it."""
+    bits = 64 * PARITIES
+    cell = words.doc_of_word() * bits + (tk.mix(words.hashes) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=words.n_docs * bits) & 1).astype(np.uint8).reshape(words.n_docs, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs with one of the ids (doc_id, distinct, a written table)."""
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -134,9 +147,11 @@ def _sketched(docs: DataFrame, p: OrderMinHash) -> DataFrame:
                 ends = pa.array(np.arange(n + 1, dtype=np.int32) * p.n_sketches)
                 lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(places.ravel())], names=["key", "place"]))
                 columns = [batch.column(0).slice(first, n), pa.array(digest[:, 0].copy().view(np.int64)), pa.array(digest[:, 1].copy().view(np.int64)), pa.array(np.diff(words.bounds)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n_words", "keys"])
+                columns += [pa.array(c.copy()) for c in parities(words).T]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n_words", "keys", *_SIGNATURE])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, d1 bigint, d2 bigint, n_words bigint, keys array<struct<key:bigint,place:int>>")
+    signature = "".join(f", {s} bigint" for s in _SIGNATURE)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id bigint, d1 bigint, d2 bigint, n_words bigint, keys array<struct<key:bigint,place:int>>{signature}")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, p: OrderMinHash, folder: str) -> DataFrame:
@@ -173,44 +188,59 @@ def _reach(p: OrderMinHash) -> Column:
     return F.abs(before) + F.abs(F.col("n") - F.col("m") - before) <= F.greatest("n", "m") * (1 - p.similarity) + 1e-9
 
 
+def _alike(p: OrderMinHash) -> Column:
+    """Whether the parities of two texts (of n words, and of m with t0, t1, ...) leave a link possible: a change alters two at most, an insertion or deletion one."""
+    differing = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(s.replace("s", "t")))) for s in _SIGNATURE[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
+    return differing <= 2 * F.floor(F.greatest("n", "m") * (1 - p.similarity) + 1e-9) - F.abs(F.col("n") - F.col("m"))
+
+
+def _other() -> list[Column]:
+    return [F.col(s).alias(s.replace("s", "t")) for s in _SIGNATURE]
+
+
 def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with their component; a node without links is its own."""
     return members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def _star(placed: DataFrame, p: OrderMinHash) -> DataFrame:
+def _star(members: DataFrame, p: OrderMinHash) -> DataFrame:
     """Pairs (a, b) of every bucket's centre with its members of other components."""
-    centres = placed.where("id = centre").select("key", F.col("n").alias("m"), F.col("place").alias("q"), F.col("root").alias("rx")).distinct()
-    pairs = placed.where("id <> centre").join(centres, "key").where((F.col("root") != F.col("rx")) & _reach(p))
+    centres = members.where("id = centre").select("key", F.col("n").alias("m"), F.col("place").alias("q"), F.col("root").alias("rx"), *_other()).distinct()
+    pairs = members.where("id <> centre").join(centres, "key").where((F.col("root") != F.col("rx")) & _reach(p) & _alike(p))
     return pairs.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
 
 
+def _centred(members: DataFrame, turn: int) -> DataFrame:
+    """Members with a centre that differs from bucket to bucket and from turn to turn."""
+    return members.join(members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)), "id"))["id"].alias("centre")), "key")
+
+
 def _mixed(placed: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with the largest component and the number of members outside it."""
+    """Members of buckets that hold several components, with the largest component and the number of members."""
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     placed = placed.join(mixed, "key")
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), (F.sum("size") - F.max("size")).alias("others"))
+    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.sum("size").alias("members"))
     return placed.join(largest, "key")
 
 
 def _cross(mixed: DataFrame, p: OrderMinHash) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket."""
-    small = mixed.where("root <> largest").select("key", F.col("id").alias("x"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("root").alias("rx"))
+    """Pairs (a, b) of different components in one bucket, joined by blocks of about p.crowd members."""
+    blocks = F.ceil(F.col("members") / p.crowd)
+    small = mixed.where("root <> largest").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"), F.col("id").alias("x"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("root").alias("rx"), *_other())
+    mixed = mixed.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
     # each pair of two smaller components once; a pair with the largest component from the smaller one's side
-    pairs = small.join(mixed, "key").where((F.col("rx") != F.col("root")) & _reach(p) & ((F.col("root") == F.col("largest")) | (F.col("x") < F.col("id"))))
+    pairs = small.join(mixed, ["key", "block"]).where((F.col("rx") != F.col("root")) & _reach(p) & ((F.col("root") == F.col("largest")) | (F.col("x") < F.col("id"))) & _alike(p))
     return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
-def _buckets(nodes: DataFrame, folder: str, any_centre: bool = False) -> DataFrame:
-    """(key, id, n, place, centre) of the nodes (id, n, keys) that agree with another in a sketch.
-
-    A bucket's centre is its smallest id or, with any_centre, one that differs from bucket to bucket.
-    """
-    banded = nodes.select("id", "n", F.explode("keys").alias("k")).select("id", "n", "k.key", "k.place")
-    centre = F.min(F.struct(F.xxhash64("key", "id"), "id"))["id"] if any_centre else F.min("id")
-    shared = banded.groupBy("key").agg(centre.alias("centre"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "centre")
-    return materialise(banded.join(shared, "key").select("key", "id", "n", "place", "centre"), folder)
+def _buckets(nodes: DataFrame, folder: str) -> DataFrame:
+    """(key, id, n, place, centre, parities) of the nodes (id, n, keys, parities) that agree with another in a key; the centre is the smallest id."""
+    banded = nodes.select("id", F.explode("keys").alias("k")).select("id", "k.key", "k.place")
+    shared = banded.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("hi")).where("centre < hi").select("key", "centre")
+    # numbers of words and parities join the few rows that share a key, not all of them
+    found = materialise(banded.join(shared, "key").select("key", "id", "place", "centre"), f"{folder}-ids")
+    return materialise(found.join(nodes.select("id", "n", *_SIGNATURE), "id").select("key", "id", "n", "place", "centre", *_SIGNATURE), folder)
 
 
 def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,31 +249,26 @@ def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: s
     folder = new_folder(spark, "near-dup")
     docs = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = materialise(_sketched(docs, p), f"{folder}/sketches")
-    nodes = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("copy_of"), F.first("n_words").alias("n"), F.first("keys").alias("keys"))
+    nodes = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("copy_of"), F.first("n_words").alias("n"), F.first("keys").alias("keys"), *[F.first(s).alias(s) for s in _SIGNATURE])
     nodes = nodes.where("copy_of is not null")
-    members = _buckets(nodes.select(F.col("copy_of").alias("id"), "n", "keys"), f"{folder}/buckets")
-    star = materialise(_star(members.withColumn("root", F.col("id")), p), f"{folder}/star")
-    links = materialise(_verified(star, docs, p, f"{folder}/star-texts"), f"{folder}/links")
+    members = _buckets(nodes.withColumnRenamed("copy_of", "id"), f"{folder}/buckets")
+    seen = materialise(_star(members.withColumn("root", F.col("id")), p), f"{folder}/star")
+    links = materialise(_verified(seen, docs, p, f"{folder}/star-texts"), f"{folder}/links")
     roots = materialise(components(links, f"{folder}/first"), f"{folder}/roots")
 
-    # crowded buckets: finer sketches, with other centres in every bucket
-    mixed = materialise(_mixed(_placed(members, roots)), f"{folder}/mixed")
-    crowded = materialise(mixed.where(f"others > {p.crowd}").select(F.col("id").alias("doc_id")).distinct(), f"{folder}/crowded")
-    finer = replace(p, ell=p.crowd_ell, n_sketches=p.crowd_sketches, seed=p.seed + 1)
-    again = _sketched(_texts(docs, crowded), finer).select(F.col("doc_id").alias("id"), F.col("n_words").alias("n"), "keys")
-    again = _buckets(again, f"{folder}/finer", any_centre=True)
-    more_star = materialise(_star(_placed(again, roots), p), f"{folder}/finer-star")
-    more_links = materialise(_verified(more_star, docs, p, f"{folder}/finer-star-texts"), f"{folder}/finer-links")
-    links = links.unionByName(more_links)
-    roots = materialise(components(links, f"{folder}/second"), f"{folder}/finer-roots")
-
-    # pairs of a bucket that are still in different components
-    seen = star.unionByName(more_star)
-    cross = _cross(_mixed(_placed(mixed.where(f"others <= {p.crowd}").select("key", "id", "n", "place"), roots)), p)
-    cross = cross.unionByName(_cross(_mixed(_placed(again.drop("centre"), roots)), p)).distinct().join(seen, ["a", "b"], "left_anti")
+    # buckets of several components: other centres first, so that loose groups grow together without their pairs
+    for turn in range(p.turns):
+        mixed = materialise(_mixed(_placed(members.drop("centre"), roots)).drop("root", "largest", "members"), f"{folder}/mixed-{turn}")
+        star = materialise(_star(_placed(_centred(mixed, turn), roots), p).join(seen, ["a", "b"], "left_anti"), f"{folder}/star-{turn}")
+        links = links.unionByName(materialise(_verified(star, docs, p, f"{folder}/star-texts-{turn}"), f"{folder}/links-{turn}"))
+        roots = materialise(components(links, f"{folder}/turn-{turn}"), f"{folder}/roots-{turn}")
+        members, seen = mixed, seen.unionByName(star)
+
+    # then all pairs of a bucket that are still in different components
+    cross = _cross(_mixed(_placed(members.drop("centre"), roots)), p).join(seen, ["a", "b"], "left_anti")
     cross = materialise(cross, f"{folder}/cross")
     more = materialise(_verified(cross, docs, p, f"{folder}/cross-texts"), f"{folder}/more")
-    roots = materialise(components(links.unionByName(more), f"{folder}/third"), f"{folder}/classes")
+    roots = materialise(components(links.unionByName(more), f"{folder}/last"), f"{folder}/classes")
 
     copies = nodes.select("d1", "d2", "copy_of").join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left").select("d1", "d2", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
     out = rows.select("doc_id", "d1", "d2", "n_words").join(copies, ["d1", "d2"], "left")

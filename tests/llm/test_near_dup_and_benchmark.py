@@ -158,3 +158,22 @@ def test_decontamination_of_odd_and_no_rows(spark):
     assert got == sorted([(1, 1), (5, 1), (5, 1), (6, None)], key=str)
     assert dc.contaminated(empty_documents(spark), items).count() == 0
     assert dc.contaminated(odd_documents(spark), items.limit(0)).count() == 0
+
+
+def changed(r: random.Random, t: str, n: int) -> str:
+    """t with n different words replaced."""
+    w = t.split(" ")
+    for at in r.sample(range(len(w)), n):
+        w[at] = f"new{r.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_pairs_of_crowded_buckets_are_compared(spark):
+    r = random.Random(8)
+    passage, docs = text(r, 12), {}
+    for _ in range(60):  # texts that share a passage; every one has a copy with 15 % of its own words changed
+        own = text(r, 40)
+        docs[len(docs)] = f"{passage} {own}"
+        docs[len(docs)] = f"{passage} {changed(r, own, 6)}"
+    got = near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), OrderMinHash(crowd=8)).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == classes_by_brute_force(docs)
