@@ -1,12 +1,14 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
-A text's k-mers are its five-word shingles (words are runs of letters and
+A text's k-mers are its three-word shingles (words are runs of letters and
 digits, lower-cased), each labelled with its occurrence number, so that they are
 distinct. For every sketch the ``ell`` labelled shingles of smallest hash are
 taken and put in the order of the text: two texts agree in a sketch only if they
 share these shingles in the same order, which makes the sketch sensitive to edit
-similarity.
-Texts that agree in a key are candidates; a candidate is
+similarity. Texts of up to ``short`` words, in which a few changes leave hardly a
+shingle, also have keys that lose no pair: the longer text is cut into one piece
+more than it may have changes, so one piece stands unchanged in the other, at a
+place the changes allow. Texts that agree in a key are candidates; a candidate is
 a link if ``1 - distance / longer length`` of the word sequences is at least
 ``similarity``, the distance being exact (banded alignment with a growing band).
 
@@ -47,10 +49,11 @@ from kinmatch.llm.shared import materialise, narrowed, new_folder, tidy
 
 @dataclass(frozen=True)
 class OrderMinHash:
-    k: int = 5
-    n_sketches: int = 24
-    ell: int = 3
+    k: int = 3
+    n_sketches: int = 48
+    ell: int = 2
     similarity: float = 0.8
+    short: int = 14
     crowd: int = 1024
     turns: int = 2
     seed: int = 1
@@ -122,6 +125,30 @@ def sketches(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray,
     return digest, keys, places
 
 
+def short_keys(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, place) of the pieces by which texts of up to p.short words find all others within reach."""
+    n_words = np.diff(words.bounds)
+    texts, keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for n in range(1, p.short + 1):
+        docs = np.flatnonzero(n_words == n)
+        for longer in range(n, p.short + 1) if len(docs) else ():
+            most = int(np.floor(longer * (1 - p.similarity) + 1e-9))
+            if not most or longer - n > most:  # equal texts are copies
+                continue
+            cuts = [i * longer // (most + 1) for i in range(most + 2)]
+            for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                for at in range(n - (hi - lo) + 1):
+                    if abs(at - lo) + abs(n - longer - (at - lo)) > most:
+                        continue
+                    key = np.full(len(docs), tk.seed_of(p.seed, longer, i, 77), dtype=np.uint64)
+                    for j in range(at, at + hi - lo):
+                        key = tk.mix(key * np.uint64(3) + words.hashes[words.bounds[docs] + j])
+                    texts.append(docs)
+                    keys.append(key)
+                    places.append(np.full(len(docs), at, dtype=np.int32))
+    return np.concatenate(texts), np.concatenate(keys), np.concatenate(places)
+
+
 def parities(words: tk.Words) -> np.ndarray:
     """Of each text, for each of 64 * PARITIES classes of words, whether an odd number of its words falls into it."""
     bits = 64 * PARITIES
@@ -144,8 +171,12 @@ def _sketched(docs: DataFrame, p: OrderMinHash) -> DataFrame:
                 words = tk.split_words(data, offsets, tk.PUNCTUATED)
                 digest, keys, places = sketches(words, p)
                 n = words.n_docs
-                ends = pa.array(np.arange(n + 1, dtype=np.int32) * p.n_sketches)
-                lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(places.ravel())], names=["key", "place"]))
+                doc, key, place = short_keys(words, p)
+                doc = np.concatenate([np.repeat(np.arange(n), p.n_sketches), doc])
+                order = np.argsort(doc, kind="stable")
+                key, place = np.concatenate([keys.ravel(), key])[order], np.concatenate([places.ravel(), place])[order]
+                ends = pa.array(np.searchsorted(doc[order], np.arange(n + 1)).astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(place)], names=["key", "place"]))
                 columns = [batch.column(0).slice(first, n), pa.array(digest[:, 0].copy().view(np.int64)), pa.array(digest[:, 1].copy().view(np.int64)), pa.array(np.diff(words.bounds)), lists]
                 columns += [pa.array(c.copy()) for c in parities(words).T]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n_words", "keys", *_SIGNATURE])

@@ -168,6 +168,25 @@ def changed(r: random.Random, t: str, n: int) -> str:
     return " ".join(w)
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_scattered_changes_are_linked(spark, share):
+    r = random.Random(7)
+    docs = {}
+    for n in [5, 6, 8, 9, 10, 12, 14, 30, 60, 100, 200] * 4:
+        if int(n * share + 1e-9):
+            docs[len(docs)] = text(r, n)
+            docs[len(docs)] = changed(r, docs[len(docs) - 1], int(n * share + 1e-9))
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()}
+    linked = [got[d] == got[d + 1] for d in range(0, len(docs), 2)]
+    assert np.mean(linked) >= (0.95 if share == 0.2 else 0.99)
+
+
+def test_short_texts_lose_no_pair(spark):
+    docs = [(1, "one two three four five"), (2, "one two other four five"), (3, "a b c d e f g h i"), (4, "a b c d X f g h i"), (5, "p q r s"), (6, "p q r s t"), (7, "k l m n o u v w x y"), (8, "l m n o u v 1 w x y"), (9, "one two 3 4 five")]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9}
+
+
 def test_pairs_of_crowded_buckets_are_compared(spark):
     r = random.Random(8)
     passage, docs = text(r, 12), {}
