@@ -35,7 +35,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.jaccard_pairs(ad.items(spark, sf_dir), ad.documents(spark, sf_dir)).withColumn("diff", F.abs(F.col("n0") - F.col("n1")).cast("double"))
 
 
-def _ranking(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
+def _ranking(spark: SparkSession, sf_dir: str, top: int | None = None) -> DataFrame:
     return ranking.ranked(_scored(spark, sf_dir), top)
 
 
@@ -284,8 +284,8 @@ idx AS (SELECT f0, CAST(coalesce(max(CASE WHEN contains(d.text, b.text) THEN ran
 
 
 def _indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ground truth: a document that holds the whole item is its counterpart."""
-    top = _ranking(spark, sf_dir, TOP_FOR_TRUTH).select("f0", "f1", "rank")
+    """Ground truth: a document that holds the whole item is its counterpart, at whatever rank it stands (the SQL looks at the first TOP_FOR_TRUTH only)."""
+    top = _ranking(spark, sf_dir).select("f0", "f1", "rank")
     docs = ad.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("f1"), F.col("text").alias("there"))
     item_texts = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("f0"), F.col("text").alias("here"))
     return ranking.match_index(top.join(docs, "f1").join(item_texts, "f0"), F.contains("there", "here"))

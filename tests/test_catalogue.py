@@ -56,3 +56,14 @@ def test_entry_works_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'similar_topk' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=env)
+
+
+def test_match_index_looks_at_the_whole_ranking(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{sf}/{f}')")
+    capped = ORACLE_SQL["match_index"]
+    whole = capped.replace("WHERE rank <= 20 ", "")
+    got = sorted(tuple(r) for r in QUERIES["match_index"](spark, sf).select("item_id", "match_index").collect())
+    assert got == sorted(con.execute(whole).fetchall()) != sorted(con.execute(capped).fetchall())
