@@ -25,7 +25,8 @@ LEAST = 16
 #: Labelled findings that the forest is fitted on, at most.
 TRAINING_ROWS = 4000
 CONTEXT = 48
-_RUN = r"[A-Za-z0-9_+/=\-]{16,}"
+#: A name ends at "="; only as padding at the end does it belong to a candidate.
+_RUN = r"[A-Za-z0-9_+/\-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=\-]))?"
 
 # Words whose letters don't look random.
 DICTIONARY = (
@@ -59,7 +60,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         lambda run, i: F.struct(
             run.alias("secret"),
             (total(F.slice("gaps", 1, i + 1)) + total(F.slice("runs", 1, i))).alias("start"),
-            F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("before"),
+            # a long name is a run itself: before its value it stands with the sign
+            F.right(F.when(F.get("gaps", i).rlike("^[\"']?\\s*[=:]"), F.concat(F.coalesce(F.get("runs", i - 1), F.lit("")), F.get("gaps", i))).otherwise(F.get("gaps", i)), F.lit(CONTEXT)).alias("before"),
             F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after"),
         ),
     )
@@ -144,6 +146,8 @@ def secret_scan(docs: DataFrame, trees: list | None = None, threshold: float = 0
     """(doc_id, start, length, secret, before, score) of every candidate that the forest takes for a secret."""
     trees = fitted(docs.sparkSession) if trees is None else trees
     rows = described(candidates(narrowed(docs, doc_id=id_col, text=text_col, path=path_col)))
+    # letters directly before "=" are the name of a value, not one
+    rows = rows.where(~(F.col("secret").rlike("^[A-Za-z_]+$") & F.col("after").startswith("=")))
     # the features become a table of their own, so that the forest's many branches don't copy their expressions
     table = rows.select("doc_id", "start", "secret", "before", F.struct(*FEATURES).alias("x"))
     score = F.expr(forest.to_sql(trees, [f"x`.`{f}" for f in FEATURES]))

@@ -181,3 +181,20 @@ def test_damaged_records_are_refused():
     assert warc.parse(raw)["payload"] == b"payload"
     with pytest.raises(ValueError, match="digest"):
         warc.parse(raw.replace(b"\r\n\r\npayload", b"\r\n\r\npayloax"))
+
+
+def test_secrets_in_env_form(spark):
+    key = hashlib.sha1(b"k").hexdigest()
+    docs = [(1, f"API_KEY={key}", ".env"), (2, f"x PRODUCTION_CLIENT_SECRET={key}\ny", ".env"), (3, f"see http://h/p?token={key} z", "src1"), (4, "QUJDREVGR0hJSktMTU5PUA== z", "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, path string")
+    found = {(x["doc_id"], x["start"], x["secret"]) for x in secret_scan.candidates(df).collect()}
+    assert {(1, 8, key), (2, 2, "PRODUCTION_CLIENT_SECRET"), (2, 27, key), (3, 21, key), (4, 0, "QUJDREVGR0hJSktMTU5PUA==")} <= found
+    got = secret_scan.secret_scan(df.where("doc_id < 4"), path_col="path").collect()
+    assert sorted((x["doc_id"], x["start"], x["length"], x["secret"]) for x in got) == [(1, 8, 40, key), (2, 27, 40, key), (3, 21, 40, key)]
+
+
+def test_unquoted_assignments_are_trained_on(spark):
+    labelled = secret_scan.labelled_findings(spark, 1000)
+    kept = secret_scan.candidates(labelled).where("start = at").select("doc_id")
+    lost = labelled.join(kept, "doc_id", "left_anti").where(F.col("label") == 1)
+    assert lost.count() == 0
