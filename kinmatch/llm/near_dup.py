@@ -94,7 +94,8 @@ def sketches(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray,
     digest = np.zeros((docs, 2), dtype=np.uint64)
     place = np.arange(len(words.hashes)) - np.repeat(words.bounds[:-1], n_words)
     for j in range(2):
-        terms = tk.mix(words.hashes + tk.seed_of(p.seed, 7, j) + tk.mix(place.astype(np.uint64)))
+        own = words.hashes if not j else tk.span_hashes(words.data, words.starts, words.ends, 1)  # two independent hashes of each word
+        terms = tk.mix(own + tk.seed_of(p.seed, 7, j) + tk.mix(place.astype(np.uint64)))
         run = np.zeros(len(terms) + 1, dtype=np.uint64)
         np.cumsum(terms, out=run[1:])
         digest[:, j] = tk.mix(run[words.bounds[1:]] - run[words.bounds[:-1]] + n_words.astype(np.uint64))

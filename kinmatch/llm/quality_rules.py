@@ -1,13 +1,15 @@
 """Quality rules by repetition coverage.
 
-Rolling hashes of several n-gram lengths are taken over the words of each whole
-text in numpy; the verdict comes from the share of the text's characters that
-lie inside n-grams found more than once, inside the most frequent short n-gram,
-and inside repeated lines.
+Hashes of words are rolled into n-grams of several lengths over each whole text in
+numpy; the verdict comes from the share of the text's characters that lie inside
+n-grams found more than once, inside the most frequent short n-gram, and inside
+repeated lines. Words and lines of equal hash are compared byte by byte, and an
+n-gram is rolled from the pair of its (n - 1)-grams, so all counts are exact.
 
 Defined results: a null or empty text has no words, fails the base rule and is
 not kept; repeated rows give repeated results; an empty table gives an empty
-result; further columns of the input are ignored. A text may be of any length:
+result; a null id stays null; among equally frequent n-grams the longest counts;
+further columns of the input are ignored. A text may be of any length:
 working memory grows with the longest single text.
 """
 
@@ -68,7 +70,7 @@ def _lines(words: tk.Words, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray
     lo, hi = np.searchsorted(words.starts, first), np.searchsorted(words.starts, end)
     keep = hi > lo
     first, end, doc, lo, hi = first[keep], end[keep], doc[keep], lo[keep], hi[keep]
-    again = tk.occurrence(doc, tk.span_hashes(data, first, end)) > 0
+    again = tk.later(doc, tk.distinct(data, first, end)[1])
     chars = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(letters, out=chars[1:])
     in_line = chars[end] - chars[first]
@@ -78,7 +80,7 @@ def _lines(words: tk.Words, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def measure(data: np.ndarray, offsets: np.ndarray, limits: Limits) -> dict[str, np.ndarray]:
     """All measures and verdicts of the documents of one chunk."""
-    w = tk.split_words(data, offsets)
+    w = tk.split_words(data, offsets, hashed=False)
     docs = w.n_docs
     n_words = np.diff(w.bounds)
     lead = (data & 0xC0) != 0x80  # one per code point
@@ -93,44 +95,31 @@ def measure(data: np.ndarray, offsets: np.ndarray, limits: Limits) -> dict[str,
     some = np.maximum(word_chars, 1)
 
     repeat = np.zeros(docs, np.int64)
-    worst = np.zeros(docs)
-    bad = np.zeros(docs, dtype=bool)
-    for n, most in limits.duplicate_ngrams:
-        first, h = tk.windows(w.hashes, w.bounds, n)
-        inside = tk.covered(len(w.hashes), first[tk.repeated(doc[first], h)], n)
-        share = tk.sum_by(w.bounds, np.where(inside, chars, 0)) / some
-        worst = np.maximum(worst, share)
-        bad |= share > most
-        if n == 5:
-            repeat = tk.sum_by(w.bounds, inside)
-    if all(n != 5 for n, _ in limits.duplicate_ngrams):
-        first, h = tk.windows(w.hashes, w.bounds, 5)
-        repeat = tk.sum_by(w.bounds, tk.covered(len(w.hashes), first[tk.repeated(doc[first], h)], 5))
-
-    top = np.zeros(docs)
-    top_bad = np.zeros(docs, dtype=bool)
-    for n, most in limits.top_ngrams:
-        first, h = tk.windows(w.hashes, w.bounds, n)
-        if not len(first):
-            continue
-        # characters of an n-gram times its occurrences, for the most frequent n-gram of each text
-        run = np.zeros(len(chars) + 1, dtype=np.int64)
-        np.cumsum(chars, out=run[1:])
-        keys = h ^ tk.mix((doc[first] + 1).astype(np.uint64))
-        order = np.argsort(keys)
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = keys[order][1:] != keys[order][:-1]
-        begin = np.flatnonzero(new)
-        times = np.diff(np.append(begin, len(order)))
-        some_first = first[order[begin]]
-        weight = np.where(times >= limits.top_least_times, times * (run[some_first + n] - run[some_first]), 0)
-        # the most frequent one counts; among equally frequent ones the longest
-        rank = times * (1 << 32) + np.minimum(weight, (1 << 32) - 1)
-        best = np.zeros(docs, np.int64)
-        np.maximum.at(best, doc[some_first], rank)
-        share = (best & ((1 << 32) - 1)) / some
-        top = np.maximum(top, share)
-        top_bad |= share > most
+    worst, top = np.zeros(docs), np.zeros(docs)
+    bad, top_bad = np.zeros(docs, dtype=bool), np.zeros(docs, dtype=bool)
+    run = np.zeros(len(chars) + 1, dtype=np.int64)
+    np.cumsum(chars, out=run[1:])
+    duplicate, most_frequent = dict(limits.duplicate_ngrams), dict(limits.top_ngrams)
+    ids = tk.distinct(data, w.starts, w.ends)[1]
+    for n, first, group, times in tk.repeats(ids, w.bounds, max([5, *duplicate, *most_frequent])):
+        if n == 5 or n in duplicate:
+            inside = tk.covered(len(chars), first, n)
+            if n == 5:
+                repeat = tk.sum_by(w.bounds, inside)
+            if n in duplicate:
+                share = tk.sum_by(w.bounds, np.where(inside, chars, 0)) / some
+                worst = np.maximum(worst, share)
+                bad |= share > duplicate[n]
+        if n in most_frequent and len(times):
+            # characters of an n-gram times its occurrences, for the most frequent n-gram of each text, the longest of those
+            one = first[np.searchsorted(group, np.arange(len(times)))]
+            weight = np.where(times >= limits.top_least_times, times * (run[one + n] - run[one]), 0)
+            rank = times * (1 << 32) + np.minimum(weight, (1 << 32) - 1)
+            best = np.zeros(docs, np.int64)
+            np.maximum.at(best, doc[one], rank)
+            share = (best & ((1 << 32) - 1)) / some
+            top = np.maximum(top, share)
+            top_bad |= share > most_frequent[n]
 
     base_failed = (n_words < limits.least_words) | (100 * repeat > limits.repeat_percent * n_words)
     line_share = dup_lines / np.maximum(n_lines, 1)

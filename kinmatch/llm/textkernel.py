@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 19
 _U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE = 0x9E3779B97F4A7C15
 _SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
@@ -39,26 +39,6 @@ def seed_of(*parts: int) -> np.uint64:
     return out[0]
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=_U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), CHUNK_BYTES + 1024)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(size, base, dtype=_U64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-_VALUES = mix(np.arange(1, 257, dtype=_U64) * _U64(_BASE))
-
-
 def _table(members: tuple[int, ...]) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     out[list(members)] = True
@@ -120,18 +100,68 @@ def chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK_BYTES, change
         first = last
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each data[starts:ends], from one prefix sum."""
-    if not len(starts):
-        return np.zeros(0, dtype=_U64)
-    up, down = _POWERS.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=_U64)
-    np.cumsum(_VALUES[data] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U64))
+#: Keeps the first 0..8 bytes of a little-endian block.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=_U64)
+
+
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of data on (zeros behind its end) as one number."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+def _unrolled(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of that many bytes as blocks of eight: (span, number of the block in it, bytes that count)."""
+    n = (size + 7) >> 3
+    span = np.repeat(np.arange(len(size)), n)
+    number = np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n)
+    return span, number, np.minimum(size[span] - 8 * number, 8)
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = WHITE) -> Words:
-    """Words of each document with a hash of each."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each data[starts:ends], by blocks that are mixed with their place before they are summed.
+
+    Different lanes give independent hashes. Equal hashes are no proof of equal spans: ``distinct`` compares the bytes.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=_U64)
+    blocks, size, seed = _blocks(data), ends - starts, np.array([seed_of(lane, 31)])
+    out = mix((blocks[starts] & _FIRST[np.minimum(size, 8)]) + mix(seed))
+    out[size == 0] = 0
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        span, number, width = _unrolled(size[long] - 8)
+        terms = mix((blocks[starts[long][span] + 8 * number + 8] & _FIRST[width]) + mix(seed + number.astype(_U64) + _U64(1)))
+        out[long] += np.add.reduceat(terms, np.flatnonzero(number == 0))
+    return mix(out + size.astype(_U64) * _U64(_BASE))
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact groups of equal spans: (a span of each group, each span's group). Hashes only propose; bytes decide."""
+    _, where, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size, like = ends - starts, where[back]
+    same = bool((size == size[like]).all())
+    if same and len(starts):
+        blocks = _blocks(data)
+        other = np.flatnonzero(like != np.arange(len(starts)))
+        first = _FIRST[np.minimum(size[other], 8)]
+        same = bool(((blocks[starts[other]] ^ blocks[starts[like[other]]]) & first == 0).all())
+        other = other[size[other] > 8]
+        if same and len(other):
+            span, number, width = _unrolled(size[other] - 8)
+            step = 8 * number + 8
+            same = bool(((blocks[starts[other][span] + step] ^ blocks[starts[like[other]][span] + step]) & _FIRST[width] == 0).all())
+    if not same:  # two spans share a hash: tell them apart by their bytes
+        raw = data.tobytes()
+        known: dict[bytes, int] = {}
+        back = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.int64)
+        where = np.unique(back, return_index=True)[1]
+    return where, back
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = WHITE, hashed: bool = True) -> Words:
+    """Words of each document, with a hash of each if ``hashed``."""
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
@@ -148,7 +178,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = WHI
     after[:-1] = inside[1:]
     after[cut[cut > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    return Words(data, offsets, starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, offsets))
+    return Words(data, offsets, starts, ends, span_hashes(data, starts, ends) if hashed else starts[:0].astype(_U64), np.searchsorted(starts, offsets))
 
 
 _MULT = mix(np.arange(1, 65, dtype=_U64) * _U64(0xD6E8FEB86659FD93)) | _U64(1)
@@ -167,19 +197,34 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
     return first, mix(out[first] + _U64(n))
 
 
-def repeated(groups: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """True where (group, hash) occurs more than once."""
-    out = np.zeros(len(hashes), dtype=bool)
-    if len(hashes) < 2:
-        return out
-    keys = hashes ^ mix((groups + 1).astype(_U64))
-    order = np.argsort(keys)
-    same = keys[order][1:] == keys[order][:-1]
-    hit = np.zeros(len(hashes), dtype=bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    out[order] = hit
-    return out
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the keys found more than once: (their places, the group of each place, the size of each group)."""
+    order = np.argsort(keys, kind="stable")
+    run = keys[order]
+    begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+    times = np.diff(np.append(begin, len(run)))
+    many = times > 1
+    return order[np.repeat(many, times)], np.repeat(np.arange(many.sum()), times[many]), times[many]
+
+
+def repeats(ids: np.ndarray, bounds: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For n = 1, 2, ..., longest: (n, first words, their groups, sizes of the groups) of all n-grams found twice or more in their text.
+
+    ``ids`` are exact word ids, and an n-gram's group is the pair of the groups of its two (n - 1)-grams, so no hash can mix
+    n-grams up. Only n-grams both of whose parts are repeated can be repeated themselves, so the work shrinks with n.
+    """
+    total = len(ids)
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at, group, times = _grouped(doc * (int(ids.max(initial=0)) + 1) + ids)
+    for n in range(1, longest + 1):
+        yield n, at, group, times
+        own = np.full(total + 1, -1, dtype=np.int64)
+        own[at] = group
+        following = own[at + 1]
+        go = (following >= 0) & (doc[at] == doc[np.minimum(at + 1, total - 1)]) if total else np.zeros(0, bool)
+        at = at[go]
+        found, group, times = _grouped(group[go] * (len(times) + 1) + following[go])
+        at = at[found]
 
 
 def occurrence(groups: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -196,6 +241,14 @@ def occurrence(groups: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def later(groups: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """True where (group, id) has occurred before, exactly."""
+    out = np.ones(len(ids), dtype=bool)
+    if len(ids):
+        out[np.unique(groups * (int(ids.max()) + 1) + ids, return_index=True)[1]] = False
+    return out
+
+
 def covered(n: int, first: np.ndarray, width: int) -> np.ndarray:
     """True for the positions of 0..n-1 inside some run [first, first + width)."""
     edge = np.zeros(n + 1, dtype=np.int32)

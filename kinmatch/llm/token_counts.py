@@ -42,15 +42,15 @@ class Counter:
     pieces'. Other tokenizers get whole texts.
     """
 
-    #: Pieces that a worker remembers, at most (16 bytes each).
-    REMEMBERED = 2_000_000
+    #: Pieces that a worker remembers, at most (about 150 bytes each), besides those of one chunk of text.
+    REMEMBERED = 400_000
 
     def __init__(self, spec: str) -> None:
         self.tokenizer = tokenizers.Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.separable = separable(spec)
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.counts: dict[bytes, int] = {}
 
     def encoded(self, texts: list[str]) -> np.ndarray:
         return np.array([len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], dtype=np.int64)
@@ -71,23 +71,16 @@ class Counter:
         return out
 
     def _remembered(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        keys, where, back = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == keys[known]
-        counts = np.zeros(len(keys), dtype=np.int64)
-        counts[known] = self.counts[at[known]]
-        new = np.flatnonzero(~known)
+        where, back = tk.distinct(data, starts, ends)
         raw = data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        new = [x for x in pieces if x not in self.counts]
+        if len(self.counts) + len(new) > self.REMEMBERED:
+            self.counts, new = {}, pieces
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
-            counts[part] = self.encoded([raw[a:b].decode() for a, b in zip(starts[where[part]], ends[where[part]], strict=True)])
-        if len(self.keys) + len(new) > self.REMEMBERED:
-            self.keys, self.counts = keys, counts
-        elif len(new):
-            self.keys = np.insert(self.keys, at[new], keys[new])
-            self.counts = np.insert(self.counts, at[new], counts[new])
-        return counts[back]
+            self.counts.update(zip(part, self.encoded([x.decode() for x in part]).tolist(), strict=True))
+        return np.fromiter(map(self.counts.__getitem__, pieces), np.int64, len(pieces))[back]
 
 
 def separable(spec: str) -> bool:

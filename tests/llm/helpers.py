@@ -18,6 +18,12 @@ def edited(r: random.Random, t: str, n: int) -> str:
     return " ".join(w)
 
 
+def twins(n: int = 1024, a: str = "a", b: str = "b") -> tuple[str, str]:
+    """The Thue-Morse word of n letters and its complement: polynomial hashes modulo 2**64 can't tell them apart."""
+    word = "".join(b if i.bit_count() % 2 else a for i in range(n))
+    return word, word.translate(str.maketrans(a + b, b + a))
+
+
 #: Rows that every operator must take: nulls, empties, ties, repeats, and extra columns of clashing names.
 def odd_documents(spark):
     long = "one very long line " * 20_000

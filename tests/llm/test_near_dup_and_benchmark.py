@@ -12,7 +12,7 @@ from kinmatch.llm import textkernel as tk
 from kinmatch.llm.components import components
 from kinmatch.llm.near_dup import OrderMinHash, near_duplicates, sketches
 from kinmatch.llm.shared import new_folder
-from tests.llm.helpers import edited, empty_documents, odd_documents, text
+from tests.llm.helpers import edited, empty_documents, odd_documents, text, twins
 
 
 def edit_distance(a, b) -> int:
@@ -102,6 +102,30 @@ def test_odd_and_no_rows(spark):
     assert near_duplicates(empty_documents(spark)).count() == 0
 
 
+def test_equal_hashes_are_told_apart(monkeypatch):
+    r = random.Random(3)
+    words = [*twins(), *[r.choice("ab") * r.randrange(30) for _ in range(300)], "12345678", "123456789", "", "1234567\0"]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    hashes = tk.span_hashes(data, starts, ends)
+    assert len(set(hashes.tolist())) == len(set(words)) and not (tk.span_hashes(data, starts, ends, 1) == hashes).any()
+    for h in (tk.span_hashes, lambda data, starts, ends: np.zeros(len(starts), np.uint64), lambda data, starts, ends: (ends - starts).astype(np.uint64)):
+        monkeypatch.setattr(tk, "span_hashes", h)
+        where, back = tk.distinct(data, starts, ends)
+        assert [words[i] for i in where[back]] == words and len(where) == len(set(words))
+
+
+def test_texts_of_equal_polynomial_hash_are_no_copies(spark):
+    one, two = twins()
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"{one} w x y z"), (4, f"{two} w x y z")], "doc_id bigint, text string")
+    got = {x["doc_id"]: (x["class_id"], x["copy_of"]) for x in near_duplicates(docs).collect()}
+    assert got[1] != got[2] and {x[1] for x in got.values()} == {1, 2, 3, 4}
+    items = spark.createDataFrame([(9, f"{one} one two three four")], "item_id bigint, text string")
+    found = dc.contaminated(spark.createDataFrame([(1, f"{one} one two three four"), (2, f"{two} one two three four")], "doc_id bigint, text string"), items).collect()
+    assert {(x["doc_id"], x["n_matched"]) for x in found} == {(1, 5), (2, 4)}
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200 + i) for i in range(50)]

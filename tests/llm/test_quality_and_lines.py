@@ -12,7 +12,7 @@ from kinmatch.llm import cuckoo
 from kinmatch.llm.line_dedup import LineStore, line_dedup
 from kinmatch.llm.quality_rules import Limits, kept_documents, quality_rules
 from kinmatch.llm.shared import new_folder
-from tests.llm.helpers import empty_documents, odd_documents, text
+from tests.llm.helpers import empty_documents, odd_documents, text, twins
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -33,6 +33,8 @@ def test_base_counts_match_brute_force(spark):
     r = random.Random(3)
     texts = ["".join(r.choice(["a", "b", " ", "\n", "é", "#", "\x0b", " ", "a b c d e "]) for _ in range(r.randrange(60))) for _ in range(300)]
     texts += [text(r, 80) + "\n" + text(r, 30) for _ in range(20)]
+    one, two = twins()
+    texts += [f"{one}\n{two}", f"{one}\n{two}\n{one}", " ".join([one, "a b c d", two, "a b c d", one, "a b c d"])]
     got = quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     for row in got.collect():
         assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"], row["base_failed"]) == base(texts[row["doc_id"]])
