@@ -21,7 +21,8 @@ else; a text with fewer than k segmentations gives all of them, with inclusion
 score 0 (certain); rows that repeat a key repeat its noise; a null key counts as
 0; an empty table gives an empty result; further columns of the input are
 ignored. The white space mark itself, in a text, decodes as a space, as in the
-library.
+library. Words may be of any length: no step recurses, and time grows in
+proportion to a word's length. ``encoded`` gives the library's own segmentation.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
 from kinmatch.llm import textkernel as tk
-from kinmatch.llm.piece_model import Lattice, PieceModel
+from kinmatch.llm.piece_model import Lattice, LatticeStore, PieceModel
 from kinmatch.llm.shared import narrowed, release, tidy
 
 #: Strings are told apart, and their lattices built, once for so many bytes of text.
@@ -104,7 +107,7 @@ def walk(lattice: Lattice, node: np.ndarray, end: np.ndarray, key: np.ndarray, s
             left = left[u[left] >= lattice.share[e[left]]]
         steps.append(e)
         owners.append(live)
-        log_p[live] += lattice.score[e]
+        log_p[live] += lattice.score(e)
         at[live] = lattice.to[e]
         live = live[at[live] < end[live]]
         step += 1
@@ -138,44 +141,55 @@ def log_rest(log_p: np.ndarray, only: np.ndarray) -> np.ndarray:
     return np.where(only, -np.inf, np.log(np.maximum(-np.expm1(np.minimum(log_p, 0)), 1e-300)))
 
 
+def _suffix(lattice: Lattice, path: tuple[int, ...]) -> list[float]:
+    """The log weight of a path from each of its edges on."""
+    return np.cumsum(lattice.score(list(path))[::-1])[::-1].tolist()
+
+
+def _n_paths(lattice: Lattice, node: int, end: int, most: int) -> int:
+    """How many paths lead from a node to its string's end, counted up to most."""
+    begin, stop = lattice.begin[node:end].tolist(), lattice.stop[node:end].tolist()
+    count = [0] * (end - node) + [1]
+    for i in range(end - node - 1, -1, -1):
+        for to in lattice.to[begin[i] : stop[i]].tolist():
+            count[i] += count[to - node]
+            if count[i] >= most:
+                count[i] = most
+                break
+    return count[0]
+
+
 def _other_path(lattice: Lattice, node: int, end: int, without: list[tuple[int, ...]], key: int, sample: int, place: int) -> tuple[list[int], float]:
     """A path of one string drawn among those that aren't in without, and its log probability among all paths."""
     edges: list[int] = []
     log_p, at = -float(lattice.total[node]), node
+    same = [(x, _suffix(lattice, x)) for x in without]  # those that begin with edges
     while at < end:
-        lo, hi = int(lattice.begin[at]), int(lattice.stop[at])
+        lo, hi, step = int(lattice.begin[at]), int(lattice.stop[at]), len(edges)
         run = lattice.share[lo:hi].tolist()
         mass = [y - x for x, y in zip([0.0, *run[:-1]], run, strict=True)]
-        for x in without:
-            if len(x) > len(edges) and list(x[: len(edges)]) == edges:
-                rest = x[len(edges) :]
-                mass[rest[0] - lo] -= math.exp(sum(lattice.score[list(rest)].tolist()) - float(lattice.total[at]))
-        for k, e in enumerate(range(lo, hi)):  # an edge all of whose paths are taken has no mass, whatever rounding leaves
-            if mass[k] < 1e-13 and _all_taken(lattice, edges + [e], int(lattice.to[e]), end, without):
+        gone = [0] * len(mass)
+        for x, weight in same:
+            mass[x[step] - lo] -= math.exp(weight[step] - float(lattice.total[at]))
+            gone[x[step] - lo] += 1
+        for k, n in enumerate(gone):  # an edge all of whose paths are taken has no mass, whatever rounding leaves
+            if n and mass[k] < 1e-13 and _n_paths(lattice, int(lattice.to[lo + k]), end, n + 1) == n:
                 mass[k] = -1.0
             else:
                 mass[k] = max(mass[k], 1e-300)
         free = [k for k in range(hi - lo) if mass[k] > 0]
-        left = _one(key, sample, place, 1 << 40, len(edges)) * sum(mass[k] for k in free)
+        left = _one(key, sample, place, 1 << 40, step) * sum(mass[k] for k in free)
         for k in free:
             left -= mass[k]
             if left < 0:
                 break
-        e = lo + k
-        edges.append(e)
-        log_p += float(lattice.score[e])
-        at = int(lattice.to[e])
+        same = [(x, weight) for x, weight in same if x[step] == lo + k]
+        edges.append(lo + k)
+        log_p += float(lattice.score(lo + k))
+        at = int(lattice.to[lo + k])
     return edges, log_p
 
 
-def _all_taken(lattice: Lattice, edges: list[int], at: int, end: int, without: list[tuple[int, ...]]) -> bool:
-    """Whether every path that begins with edges is in without."""
-    some = [x for x in without if list(x[: len(edges)]) == edges]
-    if at >= end:
-        return bool(some)
-    return bool(some) and all(_all_taken(lattice, [*edges, e], int(lattice.to[e]), end, some) for e in range(int(lattice.begin[at]), int(lattice.stop[at])))
-
-
 def top_k(lattice: Lattice, node: np.ndarray, end: np.ndarray, bounds: np.ndarray, keys: np.ndarray, k: int) -> list[list[Sample]]:
     """For each text d, whose strings are bounds[d]:bounds[d + 1] of node and end, its k best perturbed segmentations."""
     texts = len(bounds) - 1
@@ -248,9 +262,9 @@ def top_k(lattice: Lattice, node: np.ndarray, end: np.ndarray, bounds: np.ndarra
 
 def _left(lattice: Lattice, node: int, end: int, taken: list[tuple[int, ...]]) -> float:
     """log of the share of a string's paths that aren't taken."""
-    if _all_taken(lattice, [], node, end, taken):
+    share = sum(math.exp(_suffix(lattice, x)[0] - float(lattice.total[node])) for x in taken)
+    if share > 1 - 1e-9 and _n_paths(lattice, node, end, len(taken) + 1) == len(taken):
         return -np.inf
-    share = sum(math.exp(sum(lattice.score[list(x)].tolist()) - float(lattice.total[node])) for x in taken)
     return math.log(max(1 - share, 1e-300))
 
 
@@ -261,26 +275,39 @@ def _log_inclusion(log_p: float, threshold: float) -> float:
     return float(np.log(-np.expm1(-np.exp(x)))) if x > -30 else float(x)
 
 
-def sampled(model: PieceModel, texts: pa.Array, keys: np.ndarray, k: int, seed: int) -> Iterator[tuple[int, Sample, np.ndarray, str]]:
-    """(row, sample, ids, text as it should decode) of every row's samples, in order."""
+def sampled(store: LatticeStore, texts: pa.Array, keys: np.ndarray, k: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[Sample], np.ndarray, np.ndarray, list[str]]]:
+    """(rows, numbers, samples, ids, where each sample's ids begin, texts of the rows as they should decode) of a chunk's samples, in order."""
+    model = store.model
     for first, data, offsets in tk.chunks(texts, size=CHUNK_BYTES, change=model.normalised):
         starts = model.strings(data, offsets)
         ends = np.append(starts[1:], len(data))[: len(starts)]
-        _, where, back = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        # each distinct string once
-        size = (ends - starts)[where]
-        base = np.cumsum(size) - size
-        flat = np.repeat(starts[where] - base, size) + np.arange(size.sum())
-        own = data[flat] if len(flat) else data[:0]
-        lattice = model.lattice(own, base)
+        where, back = tk.distinct(data, starts, ends)
+        raw = data.tobytes()
+        node = store.places(raw, starts[where], ends[where])[back]
+        lattice = store.lattice
         bounds = np.searchsorted(starts, offsets)
         row_keys = tk.mix(keys[first : first + len(offsets) - 1].astype(np.uint64) ^ tk.seed_of(seed, 2))
-        results = top_k(lattice, base[back], (base + size)[back], bounds, row_keys, k)
-        raw = data.tobytes()
-        for d, samples in enumerate(results):
-            text = raw[offsets[d] : offsets[d + 1]].decode().removeprefix(" ")
-            for s in samples:
-                yield first + d, s, model.ids(lattice, own, s.path.edges), text
+        results = top_k(lattice, node, node + (ends - starts), bounds, row_keys, k)
+        found = [s for samples in results for s in samples]
+        size = [len(samples) for samples in results]
+        rows = np.repeat(np.arange(len(results)), size)
+        ids, begin = model.ids(lattice, store.data, np.concatenate([np.zeros(0, np.int64), *(s.path.edges for s in found)]))
+        cut = begin[np.cumsum([0, *(len(s.path.edges) for s in found)])]
+        whole = [raw[a:b].decode().removeprefix(" ") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield rows + first, np.arange(len(rows)) - np.searchsorted(rows, rows) + 1, found, ids, cut, [whole[d] for d in rows]
+
+
+_STORES: dict[tuple[bytes, float], LatticeStore] = {}
+
+
+def _store(proto: bytes, theta: float) -> LatticeStore:
+    """This worker's model and lattices, kept from task to task; one at a time."""
+    key = (hashlib.sha256(proto).digest(), theta)
+    if key not in _STORES:
+        _STORES.clear()
+        _STORES[key] = LatticeStore(PieceModel(proto, theta))
+        release()  # building the trie takes more than keeping it
+    return _STORES[key]
 
 
 def sample_segmentations(docs: DataFrame, model_file: str, k: int = 2, theta: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -293,41 +320,39 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = 2, theta: fl
         sent = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(sent.value, theta)
-        release()  # building the trie takes more than keeping it
+        store = _store(sent.value, theta)
         for batch in batches:
-            given = batch.column(0)
-            keys = given.fill_null(0).to_numpy(zero_copy_only=False)
-            rows: list[tuple] = []
-            held = 0
-            number, last = 0, -1
-            for row, s, ids, text in sampled(model, batch.column(1), keys, k, seed):
-                number = number + 1 if row == last else 1
-                last = row
+            keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            for rows, numbers, samples, ids, cut, whole in sampled(store, batch.column(1), keys, k, seed):
                 if digests:
-                    rows.append((row, number, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), model.decode(ids) == text, s))
+                    wide = memoryview(ids.astype("<i4").tobytes())
+                    hashes = [hashlib.sha256(wide[4 * a : 4 * b]).hexdigest() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                    equal = [a == b for a, b in zip(store.model.decode_all(ids, cut), whole, strict=True)]
+                    own = [("n_pieces", pa.array(np.diff(cut))), ("ids_sha256", pa.array(hashes, pa.string())), ("decoded_equal", pa.array(equal, pa.bool_()))]
                 else:
-                    rows.append((row, number, ids, None, None, s))
-                held += 1 if digests else len(ids)
-                if held > 1 << 19:
-                    yield _batch(given, rows, digests)
-                    rows, held = [], 0
-            if rows:
-                yield _batch(given, rows, digests)
+                    own = [("ids", pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32))))]
+                floats = [(name, pa.array([getattr(s, name) for s in samples], pa.float64())) for name in ("log_prob", "perturbed", "log_inclusion")]
+                columns = [("doc_id", batch.column(0).take(pa.array(rows))), ("sample", pa.array(numbers.astype(np.int32))), *own, *floats]
+                yield pa.RecordBatch.from_arrays([c for _, c in columns], names=[n for n, _ in columns])
 
     schema = SCHEMA if not digests else SCHEMA.replace("ids array<int>", "n_pieces bigint, ids_sha256 string, decoded_equal boolean")
     return narrowed(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(tidy(run), schema)
 
 
-def _batch(given: pa.Array, rows: list[tuple], digests: bool) -> pa.RecordBatch:
-    ids = given.take(pa.array([r[0] for r in rows]))
-    numbers = pa.array([r[1] for r in rows], pa.int32())
-    floats = [pa.array([getattr(r[5], name) for r in rows], pa.float64()) for name in ("log_prob", "perturbed", "log_inclusion")]
-    if digests:
-        return pa.RecordBatch.from_arrays([ids, numbers, pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows]), pa.array([r[4] for r in rows]), *floats], names=["doc_id", "sample", "n_pieces", "ids_sha256", "decoded_equal", "log_prob", "perturbed", "log_inclusion"])
-    ends = np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[2] for r in rows]), pa.int32()))
-    return pa.RecordBatch.from_arrays([ids, numbers, lists, *floats], names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
+def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids) of every whole text as the library segments it, without sampling; a null is the empty text."""
+    with open(model_file, "rb") as file:
+        sent = docs.sparkSession.sparkContext.broadcast(file.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = sentencepiece.SentencePieceProcessor(model_proto=sent.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                ids = library.encode(part.column(1).fill_null("").to_pylist(), num_threads=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return narrowed(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, ids array<int>")
 
 
 def decoded(samples: DataFrame, model_file: str) -> DataFrame:
@@ -338,7 +363,8 @@ def decoded(samples: DataFrame, model_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel(sent.value)
         for batch in batches:
-            texts = [model.decode(np.array(x if x is not None else [], dtype=np.int64)) for x in batch.column(2).to_pylist()]
+            lists = batch.column(2).fill_null([])
+            texts = model.decode_all(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "sample", "text"])
 
     return samples.select("doc_id", "sample", "ids").mapInArrow(tidy(run), "doc_id bigint, sample int, text string")

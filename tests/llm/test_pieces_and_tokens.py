@@ -11,9 +11,9 @@ import sentencepiece
 
 from kinmatch.llm import piece_sampling as ps
 from kinmatch.llm import token_counts as tc
-from kinmatch.llm.piece_model import PieceModel
+from kinmatch.llm.piece_model import LatticeStore, PieceModel
 from kinmatch.llm.shared import new_folder
-from tests.llm.helpers import empty_documents, odd_documents, text
+from tests.llm.helpers import empty_documents, odd_documents, text, twins
 
 tokenizers = pytest.importorskip("public_tokenizers")
 MODEL = tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +25,16 @@ def model() -> PieceModel:
         return PieceModel(f.read())
 
 
+def samples(m: PieceModel, texts: list[str | None], keys: np.ndarray, k: int, seed: int, **store) -> list[tuple]:
+    """(row, sample, ids, text as it should decode) of every sample."""
+    out = []
+    for rows, numbers, found, ids, cut, whole in ps.sampled(LatticeStore(m, **store), pa.array(texts, pa.string()), keys, k, seed):
+        assert m.decode_all(ids, cut) == [m.decode(ids[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        assert all(n == sum(rows[: i + 1] == r) for i, (r, n) in enumerate(zip(rows, numbers, strict=True)) if i < 50)
+        out += [(r, s, ids[a:b], t) for r, s, a, b, t in zip(rows, found, cut[:-1], cut[1:], whole, strict=True)]
+    return out
+
+
 def all_paths(m: PieceModel, t: str) -> dict[tuple, float]:
     """Every segmentation with its log weight."""
     b = (" " + t).encode() if t else b""
@@ -44,7 +54,7 @@ def all_paths(m: PieceModel, t: str) -> dict[tuple, float]:
                 single |= j == i + width
                 go(j, [*path, p], score + m.weight[p])
         if not single:
-            go(i + width, path + m.byte_id[list(b[i : i + width])].tolist(), score + m.unknown)
+            go(i + width, path + m.byte_id[list(b[i : i + width])].tolist(), score + m.weight[-width])
 
     go(0, [], 0.0)
     return out
@@ -58,7 +68,7 @@ def test_samples_follow_the_distribution(model, t):
     n, k = 3000, 3
     rows = collections.defaultdict(list)
     weights = 0.0
-    for row, s, ids, _ in ps.sampled(model, pa.array([t] * n), np.arange(n), k, 7):
+    for row, s, ids, _ in samples(model, [t] * n, np.arange(n), k, 7):
         key = tuple(ids.tolist())
         assert abs(s.log_prob - math.log(p[key])) < 1e-9
         rows[row].append(key)
@@ -79,14 +89,39 @@ def test_round_trip_and_independence_of_batches(model):
     r = random.Random(1)
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     texts = [text(r, 60), "a  b\n\n\tc  ", "日本語 ñandú €", "\x00\x01", " ", "▁a", None, "word" * 300]
-    got = [(row, ids.tolist(), s.log_prob) for row, s, ids, _ in ps.sampled(model, pa.array(texts), np.arange(len(texts)), 2, 3)]
+    got = [(row, ids.tolist(), s.log_prob) for row, s, ids, _ in samples(model, texts, np.arange(len(texts)), 2, 3)]
     for row, ids, _ in got:
         want = (texts[row] or "").replace("▁", " ")
         assert model.decode(np.array(ids, dtype=np.int64)) == want
         assert sp.decode(ids) == want or "\x00" in want
-    alone = [(i + 2, ids.tolist(), s.log_prob) for i, s, ids, _ in ps.sampled(model, pa.array(texts[2:5]), np.arange(2, 5), 2, 3)]
+    alone = [(i + 2, ids.tolist(), s.log_prob) for i, s, ids, _ in samples(model, texts[2:5], np.arange(2, 5), 2, 3)]
     assert alone == [x for x in got if 2 <= x[0] < 5]
-    assert [x[1] for x in got] != [ids.tolist() for _, _, ids, _ in ps.sampled(model, pa.array(texts), np.arange(len(texts)), 2, 4)]
+    assert [x[1] for x in got] != [ids.tolist() for _, _, ids, _ in samples(model, texts, np.arange(len(texts)), 2, 4)]
+
+
+def test_what_a_worker_remembers_changes_nothing(model):
+    r = random.Random(4)
+    texts = [text(r, 80) for _ in range(30)]
+    store = LatticeStore(model, most=500, slice_bytes=100)  # purged for every batch
+    for lo in range(0, 30, 5):
+        keys = np.arange(lo, lo + 5)
+        want = [(i, ids.tolist(), s.perturbed) for i, s, ids, _ in samples(model, texts[lo : lo + 5], keys, 2, 1)]
+        got = [(i, ids[a:b].tolist(), s.perturbed) for rows, _, found, ids, cut, _ in ps.sampled(store, pa.array(texts[lo : lo + 5]), keys, 2, 1) for i, s, a, b in zip(rows, found, cut[:-1], cut[1:], strict=True)]
+        assert got == want and len(store.data) >= store.nodes
+
+
+def test_long_words_and_words_of_equal_polynomial_hash(model):
+    texts = ["\U0001f701" * 900 + "ab", "\U0001f701" * 3000 + "ab", *twins(), "x" * 50_000]
+    got = samples(model, texts, np.arange(5), 3, 0)
+    assert all(model.decode(ids) == texts[row] for row, _, ids, _ in got)
+    assert len({(row, tuple(ids.tolist())) for row, _, ids, _ in got}) == len(got) and {row for row, *_ in got} == set(range(5))
+
+
+def test_plain_encoding_is_the_library_s(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = ps.encoded(odd_documents(spark), MODEL).collect()
+    want = [sp.encode(x["text"] or "") for x in odd_documents(spark).collect()]
+    assert sorted(x["ids"] for x in got) == sorted(want) and ps.encoded(empty_documents(spark), MODEL).count() == 0
 
 
 def test_sampling_frames(spark):
@@ -105,7 +140,7 @@ def test_token_counts_match_the_library():
         spec = f.read()
     r = random.Random(2)
     bits = [" ", "  ", "\n", "\t", " ", " ", "é", "ß", "a", "B", "12", ".", "'s", "<|endoftext|>", "<|endof", "😀", "日本", "\x85", "\x00", "́", "\x7f", "_"]
-    texts = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(3000)] + [text(r, 500)]
+    texts = list(twins(1024, "A", "B")) + ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(3000)] + [text(r, 500)]
     c = tc.Counter(spec)
     assert c.separable and c(pa.array(texts)).tolist() == c.encoded(texts).tolist() == c(pa.array(texts)).tolist()
     with open(tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
