@@ -16,13 +16,14 @@ Exact copies (equal word sequences) are one node from the start. Inside a bucket
 every text is first compared with the smallest id only; after components of
 these links are known, texts of buckets that hold several components meet other
 centres in ``turns`` turns, and at last the pairs of a bucket that still lie in
-different components are compared, so groups of copies never expand into pairs. No bucket is left
-out: crowded ones (texts that share a passage and little else) are joined in
-blocks of about ``crowd`` texts, and a pair is dropped before its texts are read
-only where it can't be a link or can't come of this key: the words before the
-shared shingle and the words after it may not differ in number by more than the
-distance allowed, and a change of one word changes at most two of the parities
-of word counts in ``64 * PARITIES`` classes of words.
+different components are compared, so groups of copies never expand into pairs.
+No bucket is left out and no pair that agrees in a key is dropped unless its
+bags of words prove that it is no link: a text's words fall into ``CELLS``
+classes, a bit for each class and count up to ``LEVELS`` tells whether it has so
+many words of the class, and every word changed turns over two bits at most,
+every word inserted or deleted one. Crowded buckets (texts that share a passage
+and little else) are joined in blocks of about ``crowd`` texts, and a pair that
+agrees in many sketches is looked at in the first of them only.
 
 Defined results: null and empty texts have the same (empty) word sequence and
 are copies of each other; a text under five words is one shingle; a null id gets
@@ -55,13 +56,14 @@ class OrderMinHash:
     similarity: float = 0.8
     short: int = 14
     crowd: int = 1024
-    turns: int = 2
+    turns: int = 1
     seed: int = 1
 
 
-#: 64-bit words that hold a text's parities of word counts.
-PARITIES = 4
-_SIGNATURE = [f"s{i}" for i in range(PARITIES)]
+#: Classes of words and counts that a text's bits tell apart; FOLDED words of 64 bits are the whole code, xor-ed together.
+CELLS, LEVELS, FOLDED = 512, 4, 4
+_CODE = [f"s{i}" for i in range(CELLS * LEVELS // 64)]
+_FOLD = [f"f{i}" for i in range(FOLDED)]
 
 
 #: Ids of texts to be compared are sent to all tasks up to this many (8 bytes each); beyond it texts are shuffled to them.
@@ -85,12 +87,11 @@ def _smallest(h: np.ndarray, doc: np.ndarray, begin: np.ndarray, count: np.ndarr
     return out
 
 
-def sketches(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: a 128-bit digest of its word sequence, and for each sketch a key and the place of its first shingle in words."""
+def sketches(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray]:
+    """For each text: a 128-bit digest of its word sequence, and the key of each sketch."""
     docs = words.n_docs
     n_words = np.diff(words.bounds)
     keys = np.zeros((docs, p.n_sketches), dtype=np.uint64)
-    places = np.zeros((docs, p.n_sketches), dtype=np.int32)
     digest = np.zeros((docs, 2), dtype=np.uint64)
     place = np.arange(len(words.hashes)) - np.repeat(words.bounds[:-1], n_words)
     for j in range(2):
@@ -122,14 +123,13 @@ def sketches(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray,
         for e in range(p.ell):
             key = np.where(picks[:, e] >= 0, tk.mix(key * np.uint64(3) + shingle[picks[:, e]]), key)
         keys[:, s] = key
-        places[:, s] = first[np.where(picks >= 0, picks, len(first)).min(axis=1)] - words.bounds[:-1]
-    return digest, keys, places
+    return digest, keys
 
 
-def short_keys(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, key, place) of the pieces by which texts of up to p.short words find all others within reach."""
+def short_keys(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of the pieces by which texts of up to p.short words find all others within reach."""
     n_words = np.diff(words.bounds)
-    texts, keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    texts, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for n in range(1, p.short + 1):
         docs = np.flatnonzero(n_words == n)
         for longer in range(n, p.short + 1) if len(docs) else ():
@@ -146,16 +146,15 @@ def short_keys(words: tk.Words, p: OrderMinHash) -> tuple[np.ndarray, np.ndarray
                         key = tk.mix(key * np.uint64(3) + words.hashes[words.bounds[docs] + j])
                     texts.append(docs)
                     keys.append(key)
-                    places.append(np.full(len(docs), at, dtype=np.int32))
-    return np.concatenate(texts), np.concatenate(keys), np.concatenate(places)
+    return np.concatenate(texts), np.concatenate(keys)
 
 
-def parities(words: tk.Words) -> np.ndarray:
-    """Of each text, for each of 64 * PARITIES classes of words, whether an odd number of its words falls into it."""
-    bits = 64 * PARITIES
-    cell = words.doc_of_word() * bits + (tk.mix(words.hashes) % np.uint64(bits)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=words.n_docs * bits) & 1).astype(np.uint8).reshape(words.n_docs, bits)
-    return np.packbits(odd, axis=1).view(np.int64)
+def codes(words: tk.Words) -> np.ndarray:
+    """Of each text, one bit for each class of words and each count up to LEVELS: whether it has so many words of the class."""
+    cell = words.doc_of_word() * CELLS + (tk.mix(words.hashes) % np.uint64(CELLS)).astype(np.int64)
+    count = np.bincount(cell, minlength=words.n_docs * CELLS).reshape(words.n_docs, 1, CELLS)
+    has = count >= np.arange(1, LEVELS + 1).reshape(1, LEVELS, 1)
+    return np.packbits(has.reshape(words.n_docs, LEVELS * CELLS), axis=1).view(np.int64)
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -170,20 +169,20 @@ def _sketched(docs: DataFrame, p: OrderMinHash) -> DataFrame:
         for batch in batches:
             for first, data, offsets in tk.chunks(batch.column(1), lower=True):
                 words = tk.split_words(data, offsets, tk.PUNCTUATED)
-                digest, keys, places = sketches(words, p)
+                digest, keys = sketches(words, p)
                 n = words.n_docs
-                doc, key, place = short_keys(words, p)
+                doc, key = short_keys(words, p)
                 doc = np.concatenate([np.repeat(np.arange(n), p.n_sketches), doc])
                 order = np.argsort(doc, kind="stable")
-                key, place = np.concatenate([keys.ravel(), key])[order], np.concatenate([places.ravel(), place])[order]
+                key = np.concatenate([keys.ravel(), key])[order]
                 ends = pa.array(np.searchsorted(doc[order], np.arange(n + 1)).astype(np.int32))
-                lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(place)], names=["key", "place"]))
+                lists = pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64)))
                 columns = [batch.column(0).slice(first, n), pa.array(digest[:, 0].copy().view(np.int64)), pa.array(digest[:, 1].copy().view(np.int64)), pa.array(np.diff(words.bounds)), lists]
-                columns += [pa.array(c.copy()) for c in parities(words).T]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n_words", "keys", *_SIGNATURE])
+                columns += [pa.array(c.copy()) for c in codes(words).T]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n_words", "keys", *_CODE])
 
-    signature = "".join(f", {s} bigint" for s in _SIGNATURE)
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id bigint, d1 bigint, d2 bigint, n_words bigint, keys array<struct<key:bigint,place:int>>{signature}")
+    code = "".join(f", {s} bigint" for s in _CODE)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id bigint, d1 bigint, d2 bigint, n_words bigint, keys array<bigint>{code}")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, p: OrderMinHash, folder: str) -> DataFrame:
@@ -214,20 +213,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: OrderMinHash, folder: str) -
     return both.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
-def _reach(p: OrderMinHash) -> Column:
-    """Whether the words before and after the shared shingle (place of n words, q of m) leave an alignment within reach."""
-    before = F.col("place") - F.col("q")
-    return F.abs(before) + F.abs(F.col("n") - F.col("m") - before) <= F.greatest("n", "m") * (1 - p.similarity) + 1e-9
+def _alike(p: OrderMinHash, code: list[str]) -> Column:
+    """Whether the bits of two texts (of n words, and of m with x_... bits) leave a link possible: a change turns two over at most, an insertion or deletion one."""
+    differing = F.bit_count(F.col(code[0]).bitwiseXOR(F.col(f"x_{code[0]}")))
+    for s in code[1:]:
+        differing += F.bit_count(F.col(s).bitwiseXOR(F.col(f"x_{s}")))
+    most, gap = F.floor(F.greatest("n", "m") * (1 - p.similarity) + 1e-9), F.abs(F.col("n") - F.col("m"))
+    return (gap <= most) & (differing <= 2 * most - gap)
 
 
-def _alike(p: OrderMinHash) -> Column:
-    """Whether the parities of two texts (of n words, and of m with t0, t1, ...) leave a link possible: a change alters two at most, an insertion or deletion one."""
-    differing = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(s.replace("s", "t")))) for s in _SIGNATURE[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
-    return differing <= 2 * F.floor(F.greatest("n", "m") * (1 - p.similarity) + 1e-9) - F.abs(F.col("n") - F.col("m"))
+def _other(code: list[str]) -> list[Column]:
+    return [F.col(s).alias(f"x_{s}") for s in code]
 
 
-def _other() -> list[Column]:
-    return [F.col(s).alias(s.replace("s", "t")) for s in _SIGNATURE]
+def _folded() -> list[Column]:
+    """The code in FOLDED words: folding can only make two texts more alike."""
+    out = [F.col(s) for s in _CODE[:FOLDED]]
+    for i, s in enumerate(_CODE[FOLDED:]):
+        out[i % FOLDED] = out[i % FOLDED].bitwiseXOR(F.col(s))
+    return [c.alias(f) for c, f in zip(out, _FOLD, strict=True)]
 
 
 def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -237,8 +241,8 @@ def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _star(members: DataFrame, p: OrderMinHash) -> DataFrame:
     """Pairs (a, b) of every bucket's centre with its members of other components."""
-    centres = members.where("id = centre").select("key", F.col("n").alias("m"), F.col("place").alias("q"), F.col("root").alias("rx"), *_other()).distinct()
-    pairs = members.where("id <> centre").join(centres, "key").where((F.col("root") != F.col("rx")) & _reach(p) & _alike(p))
+    centres = members.where("id = centre").select("key", F.col("n").alias("m"), F.col("root").alias("rx"), *_other(_FOLD)).distinct()
+    pairs = members.where("id <> centre").join(centres, "key").where((F.col("root") != F.col("rx")) & _alike(p, _FOLD))
     return pairs.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
 
 
@@ -256,23 +260,86 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.join(largest, "key")
 
 
-def _cross(mixed: DataFrame, p: OrderMinHash) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket, joined by blocks of about p.crowd members."""
+@dataclass
+class _Rows:
+    """Members of buckets, as ``_cross`` compares them."""
+
+    id: np.ndarray
+    n: np.ndarray
+    root: np.ndarray
+    far: np.ndarray  # lies in the bucket's largest component
+    keys: np.ndarray
+    code: np.ndarray
+
+    def __getitem__(self, at) -> _Rows:
+        return _Rows(*(getattr(self, f)[at] for f in self.__dataclass_fields__))
+
+
+#: Pairs that are tested at a time.
+_TESTS = 1 << 16
+
+
+def _possible(key: int, small: _Rows, others: _Rows, p: OrderMinHash) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of the pairs that may be links, each unordered pair once: one of a smaller component, and one of another component."""
+    step = max(1, _TESTS // max(1, len(others.id)))
+    for lo in range(0, len(small.id), step):
+        part = small[slice(lo, lo + step)]
+        most = np.floor(np.maximum(part.n[:, None], others.n) * (1 - p.similarity) + 1e-9).astype(np.int64)
+        gap = np.abs(part.n[:, None] - others.n)
+        i, j = np.nonzero((gap <= most) & (part.root[:, None] != others.root) & (others.far | (part.id[:, None] < others.id)))
+        differing = np.bitwise_count(part.code[i] ^ others.code[j]).sum(axis=1, dtype=np.int64)
+        ok = differing <= 2 * most[i, j] - gap[i, j]
+        i, j = i[ok], j[ok]
+        same = part.keys[i] == others.keys[j]  # a pair that agrees in several sketches leaves by the first of them only
+        ok = (part.keys[i, same.argmax(axis=1)] == key) | ~same.any(axis=1)
+        yield part.id[i[ok]], others.id[j[ok]]
+
+
+def _cross(mixed: DataFrame, nodes: DataFrame, p: OrderMinHash) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket, compared by blocks of about p.crowd members."""
+    whole = nodes.select("id", F.slice("keys", 1, p.n_sketches).alias("keys"), F.array(*_CODE).alias("code")).join(mixed.select("id").distinct(), "id", "left_semi")
     blocks = F.ceil(F.col("members") / p.crowd)
-    small = mixed.where("root <> largest").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"), F.col("id").alias("x"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("root").alias("rx"), *_other())
-    mixed = mixed.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    # each pair of two smaller components once; a pair with the largest component from the smaller one's side
-    pairs = small.join(mixed, ["key", "block"]).where((F.col("rx") != F.col("root")) & _reach(p) & ((F.col("root") == F.col("largest")) | (F.col("x") < F.col("id"))) & _alike(p))
-    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    rows = mixed.select("key", "id", "n", "root", (F.col("root") == F.col("largest")).alias("far"), blocks.alias("blocks"))
+    small = rows.where("not far").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumn("small", F.lit(True))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("small", F.lit(False)).unionByName(small)
+    rows = rows.join(whole, "id").select("key", "block", "small", "id", "n", "root", "far", "keys", "code")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[_Rows] = []  # the members of the block at hand; its smaller components follow them, however many there are
+        current = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, block, small, ids, n, root, far = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            keys, code = (batch.column(i).flatten().to_numpy().reshape(batch.num_rows, -1) for i in (7, 8))
+            all_rows = _Rows(ids, n, root, far, keys, code.view(np.uint64))
+            turn = (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (small[1:] != small[:-1])
+            cut = np.concatenate([[0], np.flatnonzero(turn) + 1, [len(key)]]).tolist()
+            found = []
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if current != (at := (int(key[lo]), int(block[lo]))):
+                    current, held = at, []
+                if not small[lo]:
+                    held.append(all_rows[slice(lo, hi)])
+                elif held:
+                    if len(held) > 1:
+                        held = [_Rows(*(np.concatenate([getattr(h, f) for h in held]) for f in _Rows.__dataclass_fields__))]
+                    found += _possible(current[0], all_rows[slice(lo, hi)], held[0], p)
+            if found:
+                x, y = (np.concatenate(side) for side in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "small")
+    return dealt.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def _buckets(nodes: DataFrame, folder: str) -> DataFrame:
-    """(key, id, n, place, centre, parities) of the nodes (id, n, keys, parities) that agree with another in a key; the centre is the smallest id."""
-    banded = nodes.select("id", F.explode("keys").alias("k")).select("id", "k.key", "k.place")
+    """(key, id, n, centre, folded code) of the nodes that agree with another in a key; the centre is the smallest id."""
+    banded = nodes.select("id", F.explode(F.array_distinct("keys")).alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("hi")).where("centre < hi").select("key", "centre")
-    # numbers of words and parities join the few rows that share a key, not all of them
-    found = materialise(banded.join(shared, "key").select("key", "id", "place", "centre"), f"{folder}-ids")
-    return materialise(found.join(nodes.select("id", "n", *_SIGNATURE), "id").select("key", "id", "n", "place", "centre", *_SIGNATURE), folder)
+    # numbers of words and codes join the few rows that share a key, not all of them
+    found = materialise(banded.join(shared, "key").select("key", "id", "centre"), f"{folder}-ids")
+    return materialise(found.join(nodes.select("id", "n", *_folded()), "id").select("key", "id", "n", "centre", *_FOLD), folder)
 
 
 def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,9 +348,9 @@ def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: s
     folder = new_folder(spark, "near-dup")
     docs = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = materialise(_sketched(docs, p), f"{folder}/sketches")
-    nodes = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("copy_of"), F.first("n_words").alias("n"), F.first("keys").alias("keys"), *[F.first(s).alias(s) for s in _SIGNATURE])
-    nodes = nodes.where("copy_of is not null")
-    members = _buckets(nodes.withColumnRenamed("copy_of", "id"), f"{folder}/buckets")
+    nodes = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n"), F.first("keys").alias("keys"), *[F.first(s).alias(s) for s in _CODE])
+    nodes = nodes.where("id is not null")
+    members = _buckets(nodes, f"{folder}/buckets")
     seen = materialise(_star(members.withColumn("root", F.col("id")), p), f"{folder}/star")
     links = materialise(_verified(seen, docs, p, f"{folder}/star-texts"), f"{folder}/links")
     roots = materialise(components(links, f"{folder}/first"), f"{folder}/roots")
@@ -297,12 +364,12 @@ def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: s
         members, seen = mixed, seen.unionByName(star)
 
     # then all pairs of a bucket that are still in different components
-    cross = _cross(_mixed(_placed(members.drop("centre"), roots)), p).join(seen, ["a", "b"], "left_anti")
+    cross = _cross(_mixed(_placed(members.drop("centre"), roots)), nodes, p).join(seen, ["a", "b"], "left_anti")
     cross = materialise(cross, f"{folder}/cross")
     more = materialise(_verified(cross, docs, p, f"{folder}/cross-texts"), f"{folder}/more")
     roots = materialise(components(links.unionByName(more), f"{folder}/last"), f"{folder}/classes")
 
-    copies = nodes.select("d1", "d2", "copy_of").join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left").select("d1", "d2", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
+    copies = nodes.select("d1", "d2", F.col("id").alias("copy_of")).join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left").select("d1", "d2", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
     out = rows.select("doc_id", "d1", "d2", "n_words").join(copies, ["d1", "d2"], "left")
     known = F.col("doc_id").isNotNull()
     return out.select("doc_id", F.when(known, F.col("class_id")).alias("class_id"), F.when(known, F.col("copy_of")).alias("copy_of"), "n_words")

@@ -91,7 +91,7 @@ def test_sketches_feel_the_order():
     w = t.split(" ")
     moved = " ".join(w[150:] + w[:150])
     _, data, offsets = next(tk.chunks(pa.array([t, edited(r, t, 2), moved]), lower=True))
-    digest, keys, _ = sketches(tk.split_words(data, offsets, tk.PUNCTUATED), OrderMinHash())
+    digest, keys = sketches(tk.split_words(data, offsets, tk.PUNCTUATED), OrderMinHash())
     near, turned = (keys[0] == keys[1]).mean(), (keys[0] == keys[2]).mean()
     assert near > 0.5 and turned < near - 0.2 and len({tuple(d) for d in digest}) == 3
 
@@ -109,7 +109,7 @@ def test_equal_hashes_are_told_apart(monkeypatch):
     ends = np.cumsum([len(w) for w in words])
     starts = ends - [len(w) for w in words]
     hashes = tk.span_hashes(data, starts, ends)
-    assert len(set(hashes.tolist())) == len(set(words)) and not (tk.span_hashes(data, starts, ends, 1) == hashes).any()
+    assert len(set(hashes.tolist())) == len(set(words)) and not (tk.span_hashes(data, starts, ends, 1) == hashes)[ends > starts].any()
     for h in (tk.span_hashes, lambda data, starts, ends: np.zeros(len(starts), np.uint64), lambda data, starts, ends: (ends - starts).astype(np.uint64)):
         monkeypatch.setattr(tk, "span_hashes", h)
         where, back = tk.distinct(data, starts, ends)
