@@ -278,13 +278,14 @@ def best_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.best_partner(_scored(spark, sf_dir)).select(F.col("f0").alias("item_id"), F.col("f1").alias("doc_id"), F.round("score", 6).alias("score"), "diff")
 
 
-TOP_FOR_TRUTH = 20
-_INDEX_SQL = _RANKED_SQL + f""",
-idx AS (SELECT f0, CAST(coalesce(max(CASE WHEN contains(d.text, b.text) THEN rank - 1 END), -1) AS BIGINT) AS match_index FROM ranked JOIN documents d ON d.doc_id = f1 JOIN benchmark b ON b.item_id = f0 WHERE rank <= {TOP_FOR_TRUTH} GROUP BY f0)"""
+#: Results that a report lists for each function; the counterpart is looked for in the whole ranking.
+LISTED = 20
+_INDEX_SQL = _RANKED_SQL + """,
+idx AS (SELECT f0, CAST(coalesce(max(CASE WHEN contains(d.text, b.text) THEN rank - 1 END), -1) AS BIGINT) AS match_index FROM ranked JOIN documents d ON d.doc_id = f1 JOIN benchmark b ON b.item_id = f0 GROUP BY f0)"""
 
 
 def _indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ground truth: a document that holds the whole item is its counterpart, at whatever rank it stands (the SQL looks at the first TOP_FOR_TRUTH only)."""
+    """Ground truth: a document that holds the whole item is its counterpart, at whatever rank it stands."""
     top = _ranking(spark, sf_dir).select("f0", "f1", "rank")
     docs = ad.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("f1"), F.col("text").alias("there"))
     item_texts = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("f0"), F.col("text").alias("here"))
@@ -337,11 +338,11 @@ def rerank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("f").alias("item_id"), F.col("g").alias("doc_id"), F.round("use_score", 6).alias("use_score"), F.round("second_score", 6).alias("second_score"), "rank")
 
 
-@_query(f"""WITH {_INDEX_SQL}, solved AS (SELECT r.*, common >= 6 AS ok FROM ranked r WHERE rank <= {TOP_FOR_TRUTH})
+@_query(f"""WITH {_INDEX_SQL}, solved AS (SELECT r.*, common >= 6 AS ok FROM ranked r WHERE rank <= {LISTED})
 SELECT 'f' || s.f0 || ':x' AS f, 'g' || f1 AS g, round(score, 6) AS score FROM solved s JOIN idx ON idx.f0 = s.f0 WHERE match_index >= 0 AND ok AND round(score, 6) > 0""")
 def report_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings written as a report and parsed again: solved results of positive score of functions with a counterpart."""
-    top = _ranking(spark, sf_dir, TOP_FOR_TRUTH).select("f0", F.concat(F.lit("g"), F.col("f1").cast("string")).alias("g"), "rank", "score", "diff", (F.col("common") >= 6).alias("solved"))
+    top = _ranking(spark, sf_dir, LISTED).select("f0", F.concat(F.lit("g"), F.col("f1").cast("string")).alias("g"), "rank", "score", "diff", (F.col("common") >= 6).alias("solved"))
     lines = report.report_lines(top, _indexes(spark, sf_dir), F.concat(F.lit("f"), F.col("f0").cast("string"), F.lit(":x")), F.format_string("0x%x", "f0"))
     named = lines.select(F.col("f0").alias("file"), F.col("part").alias("line_no"), "line")
     return report.long_rows(report.parsed(named)).select("f", "g", "score")
