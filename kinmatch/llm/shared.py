@@ -1,8 +1,8 @@
 """Shared storage of a run, and small helpers that every operator uses.
 
 Everything that outlives a task is written below ``spark.checkpoint.dir``,
-which driver and executors share. Only if that is unset (a local test) a
-temporary folder of this machine stands in.
+which driver and executors share. Only if that is unset on a local master (in
+tests) a temporary folder of this machine stands in; elsewhere it is an error.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder as a URI or path, without a trailing slash."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="kinmatch-"))
         root = _OWN[0]
@@ -53,6 +55,16 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished tables below a folder of the shared storage; none if there is no such folder."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(sc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    return [f.getPath().getName() for f in files.listStatus(where) if files.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+
+
 def materialise(df: DataFrame, path: str) -> DataFrame:
     """Write a table to shared storage and read it back: cuts lineage, survives lost executors."""
     df.write.mode("overwrite").parquet(path)

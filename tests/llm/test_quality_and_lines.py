@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from kinmatch.llm import cuckoo
+from kinmatch.llm import line_dedup as line_dedup_module
 from kinmatch.llm.line_dedup import LineStore, line_dedup
 from kinmatch.llm.quality_rules import Limits, kept_documents, quality_rules
 from kinmatch.llm.shared import new_folder
@@ -104,6 +105,35 @@ def test_line_dedup_is_incremental_and_reversible(spark):
     assert sum(map(len, filters.values())) == len(exact)
 
 
+def test_reopened_and_compacted_store(spark, monkeypatch):
+    r = random.Random(6)
+    docs = {d: "\n".join(f"Line number {r.randrange(25)}" for _ in range(r.randrange(1, 6))) for d in range(24)}
+    frame = lambda ids: spark.createDataFrame([(d, docs[d]) for d in ids], "doc_id bigint, text string")
+    folder = new_folder(spark, "t")
+    monkeypatch.setattr(line_dedup_module, "BROADCAST_BYTES", 0)  # lines go to the filters
+    LineStore(spark, folder, n_shards=3, compact_after=2).insert(frame(range(8)))
+    stale = LineStore(spark, folder, n_shards=3, compact_after=2)
+    LineStore(spark, folder, n_shards=3, compact_after=2).insert(frame(range(8, 16)))
+    with pytest.raises(Exception, match="(?i)exist"):
+        stale.insert(frame(range(16, 20)))
+    LineStore(spark, folder, n_shards=3, compact_after=2).delete(spark.createDataFrame([(2,), (9,), (77,)], "doc_id bigint"))
+    LineStore(spark, folder, n_shards=3, compact_after=2).insert(frame(range(16, 24)))
+    store = LineStore(spark, folder, n_shards=3, compact_after=2)
+    left = {d: t for d, t in docs.items() if d not in (2, 9)}
+    assert store.generation == 4 and len(store.wrote["refs"]) <= 2 and decided(spark, left, store) == expected_lines(left)
+    with pytest.raises(ValueError, match="shards"):
+        LineStore(spark, folder, n_shards=4)
+
+
+def test_columns_of_clashing_names(spark):
+    names = ["lines", "gone", "text_hash", "row", "pos", "h1", "kept"]
+    docs = spark.createDataFrame([(1, "one long shared line", *names), (2, "one long shared line\nand another", *names)], f"doc_id bigint, text string, {', '.join(f'{n} string' for n in names)}")
+    store = LineStore(spark, new_folder(spark, "t"), n_shards=2)
+    store.insert(docs.select("doc_id", "text"))
+    got = sorted(line_dedup(docs, store).collect())
+    assert [x["kept"] for x in got] == ["one long shared line", "and another"] and all(x[n] == n for x in got for n in names[:-1])
+
+
 def test_line_dedup_of_odd_and_no_rows(spark):
     docs = odd_documents(spark)
     store = LineStore(spark, new_folder(spark, "t"), n_shards=2)
