@@ -160,8 +160,8 @@ def found_by_brute_force(docs, items, p=dc.Overlap()):
     return out
 
 
-@pytest.mark.parametrize("block", [dc.BLOCK_BYTES, 300])
-def test_decontamination_matches_brute_force(spark, block):
+@pytest.mark.parametrize("bound", [dc.BROADCAST_BYTES, 0])
+def test_decontamination_matches_brute_force(spark, bound):
     r = random.Random(6)
     items = [(i, text(r, r.choice([2, 5, 9, 14, 20, 21, 45]))) for i in range(25)]
     docs = []
@@ -172,15 +172,26 @@ def test_decontamination_matches_brute_force(spark, block):
             x = edited(r, x, int(len(x.split()) * r.choice([0, 0.1, 0.2, 0.3])))
             t = f"{t} {x.upper()} {text(r, 5)}"
         docs.append((d, t))
-    got = dc.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block)
+    items += [(100, "la " * 30), (101, "la lu " * 14), (102, "la la lu " * 9), (103, "go on now then " * 8)]
+    docs += [(100, "la " * 90), (101, "x " + "la lu " * 40), (102, "la la lu " * 20 + "y"), (103, ("go on now then " * 3 + "no ") * 6), (104, "lu la " * 7)]
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), broadcast_bytes=bound)
     assert {tuple(x) for x in got.collect()} == found_by_brute_force(docs, items)
 
 
-def test_decontamination_of_odd_and_no_rows(spark):
+def test_repetitive_texts_cost_their_lengths():
+    index = dc.ItemIndex([1], ["la " * 400], dc.Overlap())
+    words = dc._tokens(pa.array(["la " * 20_000]))[0]
+    hits = sum(h.shape[1] for h in index._hits(words, np.array([0, len(words)])))
+    assert hits <= 4 * (len(words) + 400)
+    assert [x.tolist() for x in index.search(words, np.array([0, len(words)]))] == [[0], [0], [20], [20]]
+
+
+@pytest.mark.parametrize("bound", [dc.BROADCAST_BYTES, 0])
+def test_decontamination_of_odd_and_no_rows(spark, bound):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, None), (None, "one very long line one very"), (4, "")], "item_id bigint, text string")
-    got = sorted((tuple(x)[:2] for x in dc.contaminated(odd_documents(spark), items).collect()), key=str)
+    got = sorted((tuple(x)[:2] for x in dc.contaminated(odd_documents(spark), items, broadcast_bytes=bound).collect()), key=str)
     assert got == sorted([(1, 1), (5, 1), (5, 1), (6, None)], key=str)
-    assert dc.contaminated(empty_documents(spark), items).count() == 0
+    assert dc.contaminated(empty_documents(spark), items, broadcast_bytes=bound).count() == 0
     assert dc.contaminated(odd_documents(spark), items.limit(0)).count() == 0
 
 
