@@ -42,6 +42,15 @@ def classified(value: Column, classes: Sequence[tuple[str, Sequence[tuple[float,
     return out
 
 
+def pointer_kind(value: Column, width: Column, pointer_bits: int, executable: Sequence[tuple[int, int]], data: Sequence[tuple[int, int]], objects: Sequence[tuple[int, int]], recorded: Column) -> Column:
+    """What a constant is: exec, data, object or stack pointer, in this order, or a constant.
+
+    Only constants of pointer width can be pointers; a stack pointer is one of the recorded memory addresses (an array).
+    """
+    places = classified(value, [("exec", executable), ("data", data), ("object", objects)], F.when(F.array_contains(recorded, value), F.lit("stack")).otherwise(F.lit("constant")))
+    return F.when(width == pointer_bits, places).otherwise(F.lit("constant"))
+
+
 def from_hex(text: Column) -> Column:
     """An address written as hexadecimal, with or without 0x; up to 64 bits, so a decimal."""
     return F.conv(F.regexp_extract(text, r"(?i)^\s*(?:0x)?([0-9a-f]+)\s*$", 1), 16, 10).cast("decimal(20,0)")
@@ -80,6 +89,11 @@ def is_boundary(mnemonic: Column) -> Column:
     return is_call(mnemonic) | is_return(mnemonic)
 
 
+def contains_boundary(path: Column) -> Column:
+    """Whether any instruction of a path (array of mnemonics) is a boundary."""
+    return F.exists(path, is_boundary)
+
+
 def repeats_its_tail(trace: Column, unit: int, bound: int) -> Column:
     """Whether the last ``unit`` entries of a trace stand there ``bound`` times in a row."""
     tail = F.slice(trace, -unit, unit)

@@ -87,8 +87,8 @@ def trimmed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def simple_paths(edges: DataFrame, roots: DataFrame, max_paths: int | None = None, max_length: int | None = None, keep_loops: bool = False) -> DataFrame:
     """(root, path) of all simple paths from the roots (node) to leaves, level by level.
 
-    With ``max_paths`` a root that would have more is extended, from then on, along one child of each path only, chosen
-    by a hash. ``keep_loops`` also keeps paths that end where every child is on the path already.
+    With ``max_paths`` a root that would have more, finished and open paths together, is extended from then on along one
+    child of each path only, chosen by a hash. ``keep_loops`` also keeps paths that end where every child is on the path already.
     """
     step = edges.select("src", "dst").distinct()
     has_child = step.select(F.col("src").alias("last")).distinct()
@@ -103,7 +103,8 @@ def simple_paths(edges: DataFrame, roots: DataFrame, max_paths: int | None = Non
             ended = ended.unionByName(stuck.select("root", "path"))
         next_ = fresh.select("root", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last"))
         if max_paths is not None:
-            many = next_.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > max_paths).select("root")
+            so_far = done.select("root").unionByName(ended.select("root")).unionByName(next_.select("root"))
+            many = so_far.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > max_paths).select("root")
             chosen = next_.join(many, "root", "left_semi").groupBy("root", F.slice("path", F.lit(1), F.size("path") - 1).alias("_p")).agg(F.min_by("path", F.xxhash64("path")).alias("path"))
             next_ = next_.join(many, "root", "left_anti").unionByName(chosen.select("root", "path", F.element_at("path", -1).alias("last")))
         done = checkpointed(done.unionByName(ended))
@@ -115,14 +116,17 @@ def simple_paths(edges: DataFrame, roots: DataFrame, max_paths: int | None = Non
 def callers_by_data(targets: DataFrame, references: DataFrame, functions: DataFrame, max_hops: int = 10) -> DataFrame:
     """(node, func): functions that refer to a target (node), through data references (src refers to dst) of at most max_hops.
 
-    functions (func, lo, hi) are half-open ranges. A reference inside a function ends the search there.
+    functions (func, lo, hi) are half-open ranges. A reference inside a function ends the search there. Addresses meet
+    functions by pages of 4096, an equi-join; a function stands once for each page that it touches.
     """
+    pages = F.explode(F.sequence(F.floor(F.col("lo") / 4096), F.floor((F.col("hi") - 1) / 4096)))
+    functions = functions.where("lo < hi").select("func", "lo", "hi", pages.alias("page"))
     here = targets.select("node", F.col("node").alias("dst"))
     found = None
     seen = here
     for _ in range(max_hops):
         back = checkpointed(here.join(references, "dst").select("node", F.col("src").alias("at")).distinct())
-        inside = back.join(functions, (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("node", "at", "func")
+        inside = back.withColumn("page", F.floor(F.col("at") / 4096)).join(functions, "page").where("at >= lo and at < hi").select("node", "at", "func")
         found = inside.select("node", "func") if found is None else found.unionByName(inside.select("node", "func"))
         here = back.join(inside.select("node", "at"), ["node", "at"], "left_anti").select("node", F.col("at").alias("dst"))
         here = checkpointed(here.join(seen, ["node", "dst"], "left_anti"))

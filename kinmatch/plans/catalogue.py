@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinmatch.functions import expr_udfs
+from kinmatch.functions import expr_udfs, exprs
 from kinmatch.functions.names import normalised
 from kinmatch.functions.scalars import classified, jaccard
 from kinmatch.operators import blocks, graph, matching, merge, paths, ranking, similarity
 from kinmatch.operators.alignment import aligned_paths
 from kinmatch.plans import adapters as ad
 from kinmatch.plans import compare
+from kinmatch.plans.registry import ORACLE_SQL, QUERIES, query
 from kinmatch.sources import report
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(f0, f1, score, diff, n0, n1, common): Jaccard of all pairs that share a token, and the difference of sizes."""
     return similarity.jaccard_pairs(ad.items(spark, sf_dir), ad.documents(spark, sf_dir)).withColumn("diff", F.abs(F.col("n0") - F.col("n1")).cast("double"))
@@ -43,7 +28,7 @@ _RANKED_SQL = ad.PAIRS_SQL + """,
 ranked AS (SELECT f0, f1, score, common, n0, n1, CAST(abs(n0 - n1) AS DOUBLE) AS diff, row_number() OVER (PARTITION BY f0 ORDER BY score DESC, abs(n0 - n1), f1) AS rank FROM pairs)"""
 
 
-@_query(f"WITH {_RANKED_SQL} SELECT f0 AS item_id, f1 AS doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 5")
+@query(f"WITH {_RANKED_SQL} SELECT f0 AS item_id, f1 AS doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 5")
 def similar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five documents most like each item, by Jaccard similarity of their words."""
     return _ranking(spark, sf_dir, 5).select(F.col("f0").alias("item_id"), F.col("f1").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
@@ -64,7 +49,7 @@ def _rules_sql(src: str, out: str) -> str:
 {out} AS (SELECT id, tok FROM {out}_form WHERE tok NOT IN ({stop}))"""
 
 
-@_query(f"""WITH {ad.TOKENS_SQL}, src AS (SELECT f1 AS id, tok FROM doc_tok), {_rules_sql("src", "norm")}
+@query(f"""WITH {ad.TOKENS_SQL}, src AS (SELECT f1 AS id, tok FROM doc_tok), {_rules_sql("src", "norm")}
 SELECT d.doc_id, count(n.tok) AS n_features, md5(coalesce(string_agg(n.tok, ' ' ORDER BY n.tok), '')) AS features
 FROM documents d LEFT JOIN norm n ON n.id = d.doc_id GROUP BY d.doc_id""")
 def feature_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +58,7 @@ def feature_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return form.select(F.col("f1").alias("doc_id"), F.size("form").cast("bigint").alias("n_features"), F.md5(F.array_join("form", " ")).alias("features"))
 
 
-@_query(f"""WITH {ad.TOKENS_SQL}, src0 AS (SELECT f0 AS id, tok FROM item_tok), src1 AS (SELECT f1 AS id, tok FROM doc_tok), {_rules_sql("src0", "a")}, {_rules_sql("src1", "b")},
+@query(f"""WITH {ad.TOKENS_SQL}, src0 AS (SELECT f0 AS id, tok FROM item_tok), src1 AS (SELECT f1 AS id, tok FROM doc_tok), {_rules_sql("src0", "a")}, {_rules_sql("src1", "b")},
 na AS (SELECT item_id AS id, (SELECT count(*) FROM a WHERE a.id = item_id) AS n, (SELECT count(*) FROM src0 WHERE src0.id = item_id) AS raw FROM benchmark),
 nb AS (SELECT doc_id AS id, (SELECT count(*) FROM b WHERE b.id = doc_id) AS n, (SELECT count(*) FROM src1 WHERE src1.id = doc_id) AS raw FROM documents),
 usual AS (SELECT i, j, c / CAST(na.n + nb.n - c AS DOUBLE) AS score FROM (SELECT a.id AS i, b.id AS j, count(*) AS c FROM a JOIN b ON a.tok = b.tok GROUP BY 1, 2) JOIN na ON na.id = i JOIN nb ON nb.id = j),
@@ -86,7 +71,7 @@ def jaccard_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("f0").alias("item_id"), F.col("f1").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@_query("""WITH a AS (SELECT CAST(s_nationkey AS BIGINT) AS f0, count(*) AS n0 FROM supplier GROUP BY 1), b AS (SELECT p_brand AS f1, count(*) // 20 AS n1 FROM part GROUP BY 1)
+@query("""WITH a AS (SELECT CAST(s_nationkey AS BIGINT) AS f0, count(*) AS n0 FROM supplier GROUP BY 1), b AS (SELECT p_brand AS f1, count(*) // 20 AS n1 FROM part GROUP BY 1)
 SELECT f0, f1, n0, n1 FROM a, b WHERE CASE WHEN least(n0, n1) = 0 THEN greatest(n0, n1) <= 3 ELSE NOT (greatest(n0, n1) > 2 * least(n0, n1) AND greatest(n0, n1) - least(n0, n1) > 3) END""")
 def count_gate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of nations and brands whose counts pass the cheap gate."""
@@ -95,7 +80,7 @@ def count_gate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.pairs_of_like_counts(a, b)
 
 
-@_query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'red')")
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'red')")
 def prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with a prefix; the predicate reaches the scan."""
     return ad.table(spark, sf_dir, "part").where(F.col("p_name").startswith("red")).select("p_partkey", "p_name")
@@ -106,14 +91,14 @@ PRICE_CLASSES = (("exe_ptr", ((1000.0, 2000.0), (50000.0, 51000.0))), ("data_ptr
 _CLASS_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"(l_extendedprice >= {lo} AND l_extendedprice < {hi})" for lo, hi in ranges) + f" THEN '{name}'" for name, ranges in PRICE_CLASSES) + " ELSE 'literal' END"
 
 
-@_query(f"SELECT {_CLASS_SQL} AS class, l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1, 2")
+@query(f"SELECT {_CLASS_SQL} AS class, l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1, 2")
 def range_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values classified by ranges with precedence."""
     rows = ad.table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("bigint").alias("q"), classified(F.col("l_extendedprice"), PRICE_CLASSES, F.lit("literal")).alias("class"))
     return rows.groupBy("class", "l_returnflag").agg(F.count("*").alias("n"), F.sum("q").alias("quantity"))
 
 
-@_query("""SELECT user_id, event_id, block FROM (
+@query("""SELECT user_id, event_id, block FROM (
   SELECT user_id, event_id, event_type, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS block FROM events
 ) WHERE event_type = 'error' AND block IS NOT NULL""")
 def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +112,7 @@ _REFERENCES_SQL = """refs AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src
 known AS (SELECT CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_regionkey <> 4)"""
 
 
-@_query(f"WITH {ad.EDGES_SQL}, {_REFERENCES_SQL} SELECT src, dst FROM edge UNION SELECT src, dst FROM refs WHERE src IN (SELECT node FROM known) AND dst IN (SELECT node FROM known)")
+@query(f"WITH {ad.EDGES_SQL}, {_REFERENCES_SQL} SELECT src, dst FROM edge UNION SELECT src, dst FROM refs WHERE src IN (SELECT node FROM known) AND dst IN (SELECT node FROM known)")
 def edge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trade edges, and reference edges between known nations."""
     l, o, s, c = (ad.table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier", "customer"))
@@ -138,7 +123,7 @@ def edge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.with_references(ad.edges(spark, sf_dir), refs, known)
 
 
-@_query(f"WITH RECURSIVE {ad.CLOSURE_SQL} SELECT src, dst, depth FROM reach")
+@query(f"WITH RECURSIVE {ad.CLOSURE_SQL} SELECT src, dst, depth FROM reach")
 def closure_min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitive closure with least depths."""
     return graph.closure(ad.edges(spark, sf_dir)).select("src", "dst", F.col("depth").cast("bigint").alias("depth"))
@@ -147,7 +132,7 @@ def closure_min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FEATURES_SQL = "feat AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS node, p_brand AS feat FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE p_size >= 48)"
 
 
-@_query(f"WITH RECURSIVE {ad.CLOSURE_SQL}, {_FEATURES_SQL} SELECT node, count(DISTINCT feat) AS n_features FROM (SELECT node, feat FROM feat UNION ALL SELECT src, feat FROM reach JOIN feat ON dst = node) GROUP BY node")
+@query(f"WITH RECURSIVE {ad.CLOSURE_SQL}, {_FEATURES_SQL} SELECT node, count(DISTINCT feat) AS n_features FROM (SELECT node, feat FROM feat UNION ALL SELECT src, feat FROM reach JOIN feat ON dst = node) GROUP BY node")
 def closure_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many brands a nation supplies itself or through all nations that it reaches."""
     s, l, p = (ad.table(spark, sf_dir, t) for t in ("supplier", "lineitem", "part"))
@@ -156,14 +141,14 @@ def closure_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure_features(graph.closure(ad.edges(spark, sf_dir)), feats).groupBy("node").agg(F.count("*").alias("n_features"))
 
 
-@_query(f"WITH RECURSIVE {ad.CLOSURE_SQL} SELECT dst AS node, src AS caller, depth FROM reach WHERE dst IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+@query(f"WITH RECURSIVE {ad.CLOSURE_SQL} SELECT dst AS node, src AS caller, depth FROM reach WHERE dst IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def callers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that reaches the nations of a region, with its depth."""
     nodes = ad.table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("bigint").alias("node"))
     return graph.callers_of(graph.closure(ad.edges(spark, sf_dir)), nodes).select("node", "caller", F.col("depth").cast("bigint").alias("depth"))
 
 
-@_query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def no_feature_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers without an urgent order."""
     nodes = ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
@@ -182,7 +167,7 @@ def _nation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.jaccard_pairs(sets, sets.withColumnRenamed("f0", "f1")).select("f0", "f1", "score", F.abs(F.col("n0") - F.col("n1")).cast("double").alias("diff"))
 
 
-@_query(f"""WITH RECURSIVE {ad.CLOSURE_SQL}, {_NATION_SCORES_SQL},
+@query(f"""WITH RECURSIVE {ad.CLOSURE_SQL}, {_NATION_SCORES_SQL},
 callers AS (SELECT dst AS node, src AS caller, depth FROM reach), n AS (SELECT node, count(*) AS n FROM callers GROUP BY node),
 pairs AS (SELECT DISTINCT f0, f1 FROM score),
 best AS (SELECT p.f0, p.f1, a.caller, a.depth, max(s.score) AS s FROM pairs p JOIN callers a ON a.node = p.f0 JOIN callers b ON b.node = p.f1 JOIN score s ON s.f0 = a.caller AND s.f1 = b.caller GROUP BY 1, 2, 3, 4),
@@ -199,7 +184,7 @@ def caller_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DAG_SQL = "dag AS (SELECT src, dst FROM edge WHERE src < dst)"
 
 
-@_query(f"""WITH RECURSIVE {ad.EDGES_SQL}, {_DAG_SQL},
+@query(f"""WITH RECURSIVE {ad.EDGES_SQL}, {_DAG_SQL},
 below AS (SELECT src, dst FROM dag UNION SELECT b.src, d.dst FROM below b JOIN dag d ON b.dst = d.src)
 SELECT CAST(n_nationkey AS BIGINT) AS node FROM nation n WHERE n_regionkey = 2 OR EXISTS (SELECT 1 FROM below b JOIN nation m ON m.n_nationkey = b.dst WHERE b.src = n.n_nationkey AND m.n_regionkey = 2)""")
 def trim_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,14 +193,14 @@ def trim_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.trimmed(nodes, ad.edges(spark, sf_dir).where("src < dst")).select("node")
 
 
-@_query(f"WITH {ad.EDGES_SQL}, {_DAG_SQL} SELECT CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey NOT IN (SELECT src FROM dag)")
+@query(f"WITH {ad.EDGES_SQL}, {_DAG_SQL} SELECT CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey NOT IN (SELECT src FROM dag)")
 def leaf_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations without an outgoing edge."""
     nodes = ad.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("node"))
     return graph.leaves(nodes, ad.edges(spark, sf_dir).where("src < dst"))
 
 
-@_query(f"""WITH RECURSIVE {ad.EDGES_SQL}, {_DAG_SQL},
+@query(f"""WITH RECURSIVE {ad.EDGES_SQL}, {_DAG_SQL},
 path AS (
   SELECT src AS root, [src] AS p, src AS last FROM (SELECT DISTINCT src FROM dag WHERE src NOT IN (SELECT dst FROM dag))
   UNION ALL SELECT root, list_append(p, dst), dst FROM path JOIN dag ON last = src WHERE NOT list_contains(p, dst)
@@ -233,20 +218,20 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.segments(e, ["user_id"], ["ts", "event_id"], F.col("event_type").isin(*ad.BOUNDARIES), "item")
 
 
-@_query(f"WITH {ad.SEGMENTS_SQL} SELECT user_id, seg_no, n_blocks, first_event, last_event FROM segs")
+@query(f"WITH {ad.SEGMENTS_SQL} SELECT user_id, seg_no, n_blocks, first_event, last_event FROM segs")
 def segment_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' traces cut after purchases and errors."""
     first, last = F.element_at("items", 1)["event_id"], F.element_at("items", -1)["event_id"]
     return _segments(spark, sf_dir).select("user_id", "seg_no", "n_blocks", first.alias("first_event"), last.alias("last_event"))
 
 
-@_query(f"WITH {ad.SEGMENTS_SQL} SELECT DISTINCT coalesce(lag(label) OVER (PARTITION BY user_id ORDER BY seg_no), '0') AS src, label AS dst FROM segs")
+@query(f"WITH {ad.SEGMENTS_SQL} SELECT DISTINCT coalesce(lag(label) OVER (PARTITION BY user_id ORDER BY seg_no), '0') AS src, label AS dst FROM segs")
 def segment_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph of consecutive segments, by their event types."""
     return paths.segment_edges(_segments(spark, sf_dir), ["user_id"], F.array_join(F.transform("items", lambda i: i["event_type"]), ">"))
 
 
-@_query(f"WITH {ad.SEGMENTS_SQL} SELECT user_id, count(*) AS n_segments, CAST(sum(n_blocks) AS BIGINT) AS length FROM segs GROUP BY user_id")
+@query(f"WITH {ad.SEGMENTS_SQL} SELECT user_id, count(*) AS n_segments, CAST(sum(n_blocks) AS BIGINT) AS length FROM segs GROUP BY user_id")
 def segment_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments and blocks of each trace."""
     return paths.segment_lengths(_segments(spark, sf_dir), ["user_id"])
@@ -255,7 +240,7 @@ def segment_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 
 
-@_query(f"""SELECT l_orderkey, row_number() OVER w AS pos, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "offset" FROM lineitem
+@query(f"""SELECT l_orderkey, row_number() OVER w AS pos, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "offset" FROM lineitem
 WINDOW w AS (PARTITION BY l_orderkey ORDER BY {", ".join(c + " DESC" for c in _LINE_ORDER)})""")
 def running_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running sums of an order's quantities, from its last line to its first."""
@@ -263,7 +248,7 @@ def running_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.running_offsets(rows, ["l_orderkey"], _LINE_ORDER, "size")
 
 
-@_query("""SELECT o_custkey, o_orderkey, n_lines, quantity FROM (
+@query("""SELECT o_custkey, o_orderkey, n_lines, quantity FROM (
   SELECT o_custkey, o_orderkey, count(*) AS n_lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderkey) AS n
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) WHERE n = 1""")
 def longest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +257,7 @@ def longest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.longest_wins(ad.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(lines, "o_orderkey"), "o_custkey", "o_orderkey", "n_lines", ["quantity"])
 
 
-@_query(f"WITH {ad.PAIRS_SQL} SELECT f0 AS item_id, f1 AS doc_id, round(score, 6) AS score, CAST(diff AS DOUBLE) AS diff FROM (SELECT *, abs(n0 - n1) AS diff, row_number() OVER (PARTITION BY f0 ORDER BY score DESC, abs(n0 - n1), f1) AS n FROM pairs) WHERE n = 1")
+@query(f"WITH {ad.PAIRS_SQL} SELECT f0 AS item_id, f1 AS doc_id, round(score, 6) AS score, CAST(diff AS DOUBLE) AS diff FROM (SELECT *, abs(n0 - n1) AS diff, row_number() OVER (PARTITION BY f0 ORDER BY score DESC, abs(n0 - n1), f1) AS n FROM pairs) WHERE n = 1")
 def best_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's best document: greatest score, then least difference."""
     return ranking.best_partner(_scored(spark, sf_dir)).select(F.col("f0").alias("item_id"), F.col("f1").alias("doc_id"), F.round("score", 6).alias("score"), "diff")
@@ -292,19 +277,19 @@ def _indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.match_index(top.join(docs, "f1").join(item_texts, "f0"), F.contains("there", "here"))
 
 
-@_query(f"WITH {_INDEX_SQL} SELECT f0 AS item_id, match_index FROM idx")
+@query(f"WITH {_INDEX_SQL} SELECT f0 AS item_id, match_index FROM idx")
 def match_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last place in each item's ranking at which a true counterpart stands."""
     return _indexes(spark, sf_dir).select(F.col("f0").alias("item_id"), "match_index")
 
 
-@_query(f"WITH {_INDEX_SQL} SELECT count(*) FILTER (match_index >= 0) AS valid, count(*) FILTER (match_index BETWEEN 0 AND 0) AS top1, count(*) FILTER (match_index BETWEEN 0 AND 2) AS top3, count(*) FILTER (match_index BETWEEN 0 AND 4) AS top5 FROM idx")
+@query(f"WITH {_INDEX_SQL} SELECT count(*) FILTER (match_index >= 0) AS valid, count(*) FILTER (match_index BETWEEN 0 AND 0) AS top1, count(*) FILTER (match_index BETWEEN 0 AND 2) AS top3, count(*) FILTER (match_index BETWEEN 0 AND 4) AS top5 FROM idx")
 def topn_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many items have a counterpart, and have it among the first 1, 3 and 5."""
     return ranking.top_hits(_indexes(spark, sf_dir))
 
 
-@_query(f"""WITH {ad.PAIRS_SQL}, hit AS (SELECT DISTINCT f0 FROM pairs JOIN documents d ON d.doc_id = f1 JOIN benchmark b ON b.item_id = f0 WHERE score >= 0.1 AND contains(d.text, b.text))
+@query(f"""WITH {ad.PAIRS_SQL}, hit AS (SELECT DISTINCT f0 FROM pairs JOIN documents d ON d.doc_id = f1 JOIN benchmark b ON b.item_id = f0 WHERE score >= 0.1 AND contains(d.text, b.text))
 SELECT count(*) FILTER (h.f0 IS NULL) AS n_missed, count(*) AS n_total FROM benchmark LEFT JOIN hit h ON h.f0 = item_id""")
 def false_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose counterpart is missing from their results."""
@@ -323,7 +308,7 @@ def _second(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).withColumn("pos", F.row_number().over(w)).where("pos <= 10").select(F.col("f0").alias("f"), F.col("f1").alias("g"), (F.col("common") / F.col("n0")).alias("score"), "pos")
 
 
-@_query(f"""WITH {ad.PAIRS_SQL}, {_SECOND_SQL}, b AS (SELECT * FROM second WHERE pos <= 10), a AS (SELECT f0 AS f, f1 AS g, score FROM pairs WHERE score >= 0.15),
+@query(f"""WITH {ad.PAIRS_SQL}, {_SECOND_SQL}, b AS (SELECT * FROM second WHERE pos <= 10), a AS (SELECT f0 AS f, f1 AS g, score FROM pairs WHERE score >= 0.15),
 k AS (SELECT DISTINCT f FROM a),
 u AS (
   SELECT b.f, b.g, CASE WHEN k.f IS NOT NULL THEN coalesce(a.score, 0.0) END AS use_score, b.score AS second_score, b.pos FROM b LEFT JOIN a ON a.f = b.f AND a.g = b.g LEFT JOIN k ON k.f = b.f
@@ -338,7 +323,7 @@ def rerank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("f").alias("item_id"), F.col("g").alias("doc_id"), F.round("use_score", 6).alias("use_score"), F.round("second_score", 6).alias("second_score"), "rank")
 
 
-@_query(f"""WITH {_INDEX_SQL}, solved AS (SELECT r.*, common >= 6 AS ok FROM ranked r WHERE rank <= {LISTED})
+@query(f"""WITH {_INDEX_SQL}, solved AS (SELECT r.*, common >= 6 AS ok FROM ranked r WHERE rank <= {LISTED})
 SELECT 'f' || s.f0 || ':x' AS f, 'g' || f1 AS g, round(score, 6) AS score FROM solved s JOIN idx ON idx.f0 = s.f0 WHERE match_index >= 0 AND ok AND round(score, 6) > 0""")
 def report_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings written as a report and parsed again: solved results of positive score of functions with a counterpart."""
@@ -348,7 +333,7 @@ def report_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.long_rows(report.parsed(named)).select("f", "g", "score")
 
 
-@_query(f"WITH {ad.SEGMENTS_SQL} SELECT user_id, seg_no, label FROM (SELECT user_id, seg_no, label, row_number() OVER (PARTITION BY user_id ORDER BY md5(label || '#' || seg_no), label || '#' || seg_no) AS n FROM segs) WHERE n <= 5")
+@query(f"WITH {ad.SEGMENTS_SQL} SELECT user_id, seg_no, label FROM (SELECT user_id, seg_no, label, row_number() OVER (PARTITION BY user_id ORDER BY md5(label || '#' || seg_no), label || '#' || seg_no) AS n FROM segs) WHERE n <= 5")
 def sample_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five segments of each trace, sampled by hash."""
     segs = _segments(spark, sf_dir).select("user_id", "seg_no", F.array_join(F.transform("items", lambda i: i["event_type"]), ">").alias("label"))
@@ -361,7 +346,21 @@ def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sides[0], sides[1]
 
 
-@_query()
+_GREEDY_SQL = """turn_tok AS (SELECT DISTINCT conv_id, turn, role = 'user' AS own, tok FROM (SELECT conv_id, turn, role, unnest(string_split(lower(coalesce(text, '')), ' ')) AS tok FROM conversations) WHERE tok <> ''),
+size AS (SELECT conv_id, turn, own, count(*) AS n FROM turn_tok GROUP BY ALL),
+common AS (SELECT a.conv_id, a.turn AS i, b.turn AS j, count(*) AS c FROM turn_tok a JOIN turn_tok b ON a.conv_id = b.conv_id AND a.tok = b.tok WHERE a.own AND NOT b.own GROUP BY ALL),
+scored AS (SELECT c.conv_id, i, j, c / CAST(x.n + y.n - c AS DOUBLE) AS score FROM common c JOIN size x ON x.conv_id = c.conv_id AND x.turn = i AND x.own JOIN size y ON y.conv_id = c.conv_id AND y.turn = j AND NOT y.own),
+wish AS (SELECT conv_id, i, list(j ORDER BY j) AS js, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS r FROM scored WHERE score >= 0.05 GROUP BY conv_id, i),
+walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j, CAST([] AS BIGINT[]) AS taken FROM wish
+  UNION ALL
+  SELECT conv_id, r, i, j, CASE WHEN j IS NULL THEN taken ELSE list_append(taken, j) END FROM (
+    SELECT w.conv_id, s.r, CAST(s.i AS BIGINT) AS i, CAST(list_filter(s.js, lambda x: NOT list_contains(w.taken, x))[1] AS BIGINT) AS j, w.taken FROM walk w JOIN wish s ON s.conv_id = w.conv_id AND s.r = w.r + 1)
+),
+matched AS (SELECT w.conv_id, w.i, w.j, s.score FROM walk w JOIN scored s ON s.conv_id = w.conv_id AND s.i = w.i AND s.j = w.j)"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY_SQL} SELECT conv_id, i, j, score FROM matched")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of users and answers of one conversation, matched one to one by their words."""
     a, b = _turns(spark, sf_dir)
@@ -369,7 +368,8 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.greedy_pairs(scored, ["conv_id"], 0.05)
 
 
-@_query()
+@query(f"""WITH RECURSIVE {_GREEDY_SQL} SELECT t.conv_id, coalesce(m.n, 0) / CAST(t.n AS DOUBLE) AS score FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id) t
+LEFT JOIN (SELECT conv_id, count(DISTINCT j) AS n FROM matched GROUP BY conv_id) m ON m.conv_id = t.conv_id""")
 def function_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched answers over user turns, for each conversation."""
     a, _ = _turns(spark, sf_dir)
@@ -386,13 +386,13 @@ def _aligned(spark: SparkSession, sf_dir: str, weighted: bool) -> DataFrame:
     return aligned_paths(left, right, "user_id", weighted=weighted)
 
 
-@_query()
+@query()
 def graph_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half of each trace's segments aligned with the graph of the second half."""
     return _aligned(spark, sf_dir, False)
 
 
-@_query()
+@query()
 def weighted_graph_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, matches counting with their blocks."""
     return _aligned(spark, sf_dir, True)
@@ -407,7 +407,13 @@ def _expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", text.alias("a"), F.lead(text).over(w).alias("b")).where("b is not null")
 
 
-@_query()
+_EXPRESSIONS_SQL = """e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'and' WHEN 'error' THEN 'xor' WHEN 'purchase' THEN 'mul' ELSE 'sub' END AS op, CAST(props ->> '$.k' AS INTEGER) AS k FROM events),
+pair AS (SELECT event_id, op, k, lead(op) OVER w AS op2, lead(k) OVER w AS k2 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+parts AS (SELECT event_id, op, CASE WHEN k % 2 = 0 THEN op ELSE 'add' END AS inner1, k % 4 AS c, op2, CASE WHEN k2 % 2 = 0 THEN op2 ELSE 'add' END AS inner2, k2 % 4 AS c2 FROM pair WHERE op2 IS NOT NULL)"""
+
+
+# trees of one shape, each with two inputs: labels decide, and the best renaming leaves inputs where they are
+@query(f"""WITH {_EXPRESSIONS_SQL} SELECT event_id, CAST(d AS DOUBLE) AS distance, d = 0 AS equal FROM (SELECT event_id, CAST(op <> op2 AS INTEGER) + CAST(inner1 <> inner2 AS INTEGER) + CAST(c <> c2 AS INTEGER) AS d FROM parts)""")
 def tree_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit distances of consecutive events' expression trees; each distinct pair is worked out once."""
     pairs = _expressions(spark, sf_dir)
@@ -415,7 +421,19 @@ def tree_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(known, ["a", "b"]).select("event_id", "distance", "equal")
 
 
-@_query()
+def _byte_sql(op: str, a: str, b: str) -> str:
+    return f"CASE {op} WHEN 'add' THEN {a} + {b} WHEN 'and' THEN {a} & {b} WHEN 'xor' THEN xor({a}, {b}) WHEN 'mul' THEN {a} * {b} ELSE {a} - {b} + 256 END % 256"
+
+
+# every formula of two bytes is worked out for all inputs, and the same with the inputs exchanged
+@query(f"""WITH {_EXPRESSIONS_SQL},
+form AS (SELECT DISTINCT op, inner1 AS inn, c FROM parts UNION SELECT DISTINCT op2, inner2, c2 FROM parts),
+grid AS (SELECT x.range AS x, y.range AS y FROM range(256) x, range(256) y),
+step AS (SELECT op, inn, c, x, y, {_byte_sql("inn", "x", "c")} AS v FROM form, grid),
+value AS (SELECT op, inn, c, x, y, {_byte_sql("op", "v", "y")} AS v FROM step),
+sign AS (SELECT op, inn, c, sum(hash(x, y, v)) AS straight, sum(hash(y, x, v)) AS crossed FROM value GROUP BY ALL)
+SELECT event_id, CASE WHEN a.straight = b.straight OR a.straight = b.crossed THEN 'equal' ELSE 'different' END AS verdict
+FROM parts p JOIN sign a ON a.op = p.op AND a.inn = p.inner1 AND a.c = p.c JOIN sign b ON b.op = p.op2 AND b.inn = p.inner2 AND b.c = p.c2""")
 def formula_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether consecutive events' formulas are equal under a renaming of inputs."""
     pairs = _expressions(spark, sf_dir)
@@ -423,15 +441,17 @@ def formula_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(known, ["a", "b"]).select("event_id", "verdict")
 
 
-@_query("""SELECT l_returnflag, count(*) AS n, CAST(sum(CASE WHEN l_linenumber = 1 AND l_quantity < 10 THEN l_linenumber WHEN l_quantity < 25 THEN l_linenumber + 7 ELSE 16775031 END) AS BIGINT) AS total FROM lineitem GROUP BY l_returnflag""")
+@query("""SELECT l_returnflag, count(*) AS n, CAST(sum(CASE WHEN l_linenumber = 1 AND l_quantity < 10 THEN l_linenumber WHEN l_quantity < 25 THEN l_linenumber + 7 ELSE 16775031 END) AS BIGINT) AS total FROM lineitem GROUP BY l_returnflag""")
 def ite_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of conditional formulas with the default constant, evaluated on rows."""
+    """Formulas under constraints merged into one chain with the default constant, evaluated on rows by Spark."""
     n, q = F.col("l_linenumber"), F.col("l_quantity")
-    value = F.when((n == 1) & (q < 10), n).when(q < 25, n + 7).otherwise(0xFFF777)
+    branches = [("n", ["(eq n 1)", "(ult q 10)"]), ("(add n 7)", ["(ult q 25)"])]
+    merged, _ = exprs.merged_formula([(exprs.parsed(formula), [exprs.parsed(c) for c in constraints]) for formula, constraints in branches])
+    value = exprs.as_column(merged, {"n": n, "q": q})
     return ad.table(spark, sf_dir, "lineitem").select("l_returnflag", value.cast("bigint").alias("v")).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
-@_query("""SELECT f0, f1, round(sum(lcs) / CAST(sum(length) AS DOUBLE), 6) AS score FROM (
+@query("""SELECT f0, f1, round(sum(lcs) / CAST(sum(length) AS DOUBLE), 6) AS score FROM (
   SELECT a.l_returnflag AS f0, b.l_returnflag AS f1, a.p AS p, least(a.n, b.n) AS lcs, a.n AS length
   FROM (SELECT l_returnflag, l_linenumber AS p, count(*) AS n FROM lineitem GROUP BY 1, 2) a JOIN (SELECT l_returnflag, l_linenumber AS p, count(*) AS n FROM lineitem GROUP BY 1, 2) b USING (p)) GROUP BY 1, 2""")
 def path_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,7 +466,7 @@ _ENDS_SQL = """ends0 AS (SELECT user_id AS i, arg_max(event_type, (ts, event_id)
 ends1 AS (SELECT CAST(n_nationkey AS BIGINT) AS j, CASE n_nationkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'click' WHEN 2 THEN 'view' WHEN 3 THEN 'error' WHEN 4 THEN 'purchase' WHEN 5 THEN 'signup' ELSE 'other' END AS name FROM nation)"""
 
 
-@_query(f"""WITH {_ENDS_SQL} SELECT i, j FROM ends0 a JOIN ends1 b ON a.name = b.name OR a.name IS NULL OR b.name IS NULL OR (a.name IN ('click', 'view') AND b.name IN ('click', 'view'))""")
+@query(f"""WITH {_ENDS_SQL} SELECT i, j FROM ends0 a JOIN ends1 b ON a.name = b.name OR a.name IS NULL OR b.name IS NULL OR (a.name IN ('click', 'view') AND b.name IN ('click', 'view'))""")
 def similar_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces and nations whose last names are alike: equal, of one class, or unknown."""
     e = ad.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("i")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("name"))
@@ -455,48 +475,48 @@ def similar_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_ends(e, n, ad.Rules(classes=(("click", "view"),), groups=(), stop=(), prefix=""))
 
 
-@_query(f"WITH {ad.SEGMENTS_SQL} SELECT label, count(*) AS n, string_agg(info, ',' ORDER BY info) AS infos FROM (SELECT label, user_id || ':' || seg_no AS info FROM segs) GROUP BY label")
+@query(f"WITH {ad.SEGMENTS_SQL} SELECT label, count(*) AS n, string_agg(info, ',' ORDER BY info) AS infos FROM (SELECT label, user_id || ':' || seg_no AS info FROM segs) GROUP BY label")
 def collect_relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every kind of segment all traces that hold it."""
     segs = _segments(spark, sf_dir).select(F.array_join(F.transform("items", lambda i: i["event_type"]), ">").alias("label"), F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("seg_no").cast("string")).alias("info"))
     return blocks.relatives(segs, ["label"], "info").select("label", "n", F.array_join("infos", ",").alias("infos"))
 
 
-@_query("SELECT event_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 12)")
+@query("SELECT event_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 12)")
 def reliable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views of users with few errors."""
     e = ad.table(spark, sf_dir, "events")
     return blocks.reliable(e.where("event_type = 'view'").select("user_id", "event_id"), e.where("event_type = 'error'").select("user_id"), ["user_id"], 12).select("event_id")
 
 
-@_query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS registers FROM lineitem WHERE l_returnflag || l_linestatus NOT IN ('NO') GROUP BY l_orderkey")
+@query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS registers FROM lineitem WHERE l_returnflag || l_linestatus NOT IN ('NO') GROUP BY l_orderkey")
 def written_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct flags of an order's lines, without the skipped ones."""
     w = ad.table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("register"))
     return blocks.written_registers(w, ["l_orderkey"], ["NO"]).withColumn("registers", F.array_join("registers", ","))
 
 
-@_query("SELECT user_id, props AS rhs, min(event_id) AS pos FROM events GROUP BY 1, 2")
+@query("SELECT user_id, props AS rhs, min(event_id) AS pos FROM events GROUP BY 1, 2")
 def distinct_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each text of a user's properties."""
     return blocks.distinct_memory_formulas(ad.table(spark, sf_dir, "events").select("user_id", F.col("props").alias("rhs"), F.col("event_id").alias("pos")), ["user_id"])
 
 
-@_query("""SELECT user_id, coalesce(min(pos) FILTER (ok), count(*)) AS first_valid FROM (SELECT user_id, value > 40 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) GROUP BY user_id""")
+@query("""SELECT user_id, coalesce(min(pos) FILTER (ok), count(*)) AS first_valid FROM (SELECT user_id, value > 40 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) GROUP BY user_id""")
 def valid_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of the first block in a trace that has something to compare."""
     e = ad.steps(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") > 40).alias("ok")))), lambda s: s["ok"]).alias("flags"))
     return e.select("user_id", blocks.first_valid(F.col("flags")).alias("first_valid"))
 
 
-@_query(f"""WITH {ad.TOKENS_SQL} SELECT item_id, n_name FROM (SELECT f0 AS item_id, count(*) AS n FROM item_tok GROUP BY f0) JOIN nation ON n_nationkey = n % 25""")
+@query(f"""WITH {ad.TOKENS_SQL} SELECT item_id, n_name FROM (SELECT f0 AS item_id, count(*) AS n FROM item_tok GROUP BY f0) JOIN nation ON n_nationkey = n % 25""")
 def names_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers replaced by names."""
     n = ad.items(spark, sf_dir).select(F.col("f0").alias("item_id"), (F.size("feats") % 25).alias("n_nationkey"))
     return n.join(ad.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey").select("item_id", "n_name")
 
 
-@_query()
+@query()
 def trace_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far traces run before recursion, a loop or their length stops them."""
     step = F.when(F.col("event_type") == "signup", F.concat(F.lit("call "), (F.col("value") > 20).cast("string"))).when(F.col("event_type") == "purchase", "ret").otherwise(F.col("event_type"))
@@ -504,7 +524,7 @@ def trace_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("r", blocks.limited("steps")).select("user_id", "r.n_steps", "r.reason")
 
 
-@_query()
+@query()
 def capped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths through the trade graph, at most eight from a nation at a time; paths that end in a loop are kept."""
     e = ad.edges(spark, sf_dir)
@@ -513,7 +533,7 @@ def capped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("root", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.size("path").cast("bigint").alias("n_nodes"))
 
 
-@_query()
+@query()
 def compare_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two programs made of conversations: users' turns against the answers; features are words, formulas follow a turn's length."""
     c = ad.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -525,3 +545,6 @@ def compare_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     (f0, p0), (f1, p1) = side("role = 'user'", "f0"), side("role <> 'user'", "f1")
     out = compare.compared(f0, f1, p0, p1, compare.Comparison(gate=0.05, rules=ad.WORD_RULES))
     return compare.ranked_comparison(out, 5).select("f0", "f1", F.round("score", 6).alias("score"), F.round("diff", 6).alias("diff"), F.col("rank").cast("bigint").alias("rank"))
+
+
+from kinmatch.plans import fixtures  # noqa: E402, F401  registers its queries behind these

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinmatch import model
+from kinmatch.functions.scalars import in_ranges
 
 
 def address_of_file(name: Column) -> Column:
@@ -97,8 +98,28 @@ def functions_with_chunks(functions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def in_section(functions: DataFrame, sections: DataFrame, name: str = ".text") -> DataFrame:
     """Functions (pid, addr, ...) whose address lies in a section (pid, name, lo, hi)."""
-    one = sections.where(F.col("name") == name).select("pid", "lo", "hi")
-    return functions.join(F.broadcast(one), "pid").where("addr >= lo and addr < hi").drop("lo", "hi")
+    return functions.join(section(sections, name).select("pid", "lo", "hi"), "pid").where("addr >= lo and addr < hi").drop("lo", "hi")
+
+
+def outside_section(functions: DataFrame, sections: DataFrame, name: str = ".text") -> DataFrame:
+    """Functions (pid, addr, ...) whose address lies in no section of that name."""
+    spans = section(sections, name).groupBy("pid").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    return functions.join(spans, "pid", "left").where(F.col("_spans").isNull() | ~in_ranges(F.col("addr"), F.col("_spans"))).drop("_spans")
+
+
+def valid_functions(functions: DataFrame, sections: DataFrame, name: str = ".text") -> DataFrame:
+    """Functions (pid, addr, is_plt, is_simprocedure, is_syscall, ...) of a section that are code of the program's own."""
+    return in_section(functions.where("not (is_plt or is_simprocedure or is_syscall)"), sections, name)
+
+
+def section(sections: DataFrame, name: str) -> DataFrame:
+    """The sections of one name; a program without it has no row."""
+    return sections.where(F.col("name") == name)
+
+
+def object_ranges(objects: DataFrame) -> DataFrame:
+    """(pid, name, lo, hi) of the loaded objects (pid, name, is_main, lo, hi) besides the program itself."""
+    return objects.where("not is_main").select("pid", "name", "lo", "hi")
 
 
 def data_ranges(sections: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from kinmatch import model
-from kinmatch.operators import blocks
+from kinmatch.operators import blocks, graph
 from kinmatch.plans import compare
 from tests.conftest import rows
 
@@ -45,6 +45,12 @@ def test_function_paths(spark):
     assert rows(blocks.end_blocks(nodes, edges).where("is_leaf").select("node")) == [(2,), (3,)]
 
 
+def test_caps_count_finished_paths(spark):
+    edges = spark.createDataFrame([(i, j) for i in range(9) for j in (i + 1, 100 + i)], "src bigint, dst bigint")  # a leaf at each step
+    got = graph.simple_paths(edges, spark.createDataFrame([(0,)], "node bigint"), max_paths=2).collect()
+    assert 1 <= len(got) <= 3
+
+
 def test_limits():
     run = lambda *steps: tuple(blocks.limited.func(pd.Series([list(steps)])).iloc[0])
     assert run("a", "b", "a", "b", "a", "b") == (5, "loop")
