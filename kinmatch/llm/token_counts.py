@@ -42,15 +42,17 @@ class Counter:
     pieces'. Other tokenizers get whole texts.
     """
 
-    #: Pieces that a worker remembers, at most (about 150 bytes each), besides those of one chunk of text.
-    REMEMBERED = 400_000
+    #: Pieces after which those not met since as many pieces ago are forgotten: a worker holds twice as many (about 150
+    #: bytes each) and those of one chunk of text.
+    REMEMBERED = 300_000
 
     def __init__(self, spec: str) -> None:
         self.tokenizer = tokenizers.Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.separable = separable(spec)
-        self.counts: dict[bytes, int] = {}
+        self.young: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
 
     def encoded(self, texts: list[str]) -> np.ndarray:
         return np.array([len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], dtype=np.int64)
@@ -74,13 +76,29 @@ class Counter:
         where, back = tk.distinct(data, starts, ends)
         raw = data.tobytes()
         pieces = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-        new = [x for x in pieces if x not in self.counts]
-        if len(self.counts) + len(new) > self.REMEMBERED:
-            self.counts, new = {}, pieces
+        if len(self.young) > self.REMEMBERED:
+            self.old, self.young = self.young, {}
+        young = self.young
+        if new := [x for x in pieces if x not in young]:
+            known = {x: n for x, n in zip(new, map(self.old.get, new), strict=True) if n is not None}
+            young.update(known)
+            new = [x for x in new if x not in known]
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
-            self.counts.update(zip(part, self.encoded([x.decode() for x in part]).tolist(), strict=True))
-        return np.fromiter(map(self.counts.__getitem__, pieces), np.int64, len(pieces))[back]
+            young.update(zip(part, self.encoded([x.decode() for x in part]).tolist(), strict=True))
+        return np.fromiter(map(young.__getitem__, pieces), np.int64, len(pieces))[back]
+
+
+_COUNTERS: dict[bytes, Counter] = {}
+
+
+def _counter(spec: str) -> Counter:
+    """This worker's tokenizer with the pieces that it remembers, kept from task to task; one at a time."""
+    key = version_of(spec)
+    if key not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[key] = Counter(spec)
+    return _COUNTERS[key]
 
 
 def separable(spec: str) -> bool:
@@ -134,7 +152,7 @@ def token_counts(docs: DataFrame, cache: str, tokenizer_file: str, limit: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        count = Counter(sent.value)
+        count = _counter(sent.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count(batch.column(1)))], names=["content", "n_tokens"])
 

@@ -143,6 +143,9 @@ def test_token_counts_match_the_library():
     texts = list(twins(1024, "A", "B")) + ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(3000)] + [text(r, 500)]
     c = tc.Counter(spec)
     assert c.separable and c(pa.array(texts)).tolist() == c.encoded(texts).tolist() == c(pa.array(texts)).tolist()
+    forgetful = tc.Counter(spec)
+    forgetful.REMEMBERED = 50
+    assert [forgetful(pa.array(texts[k : k + 100])).tolist() for k in range(0, 3000, 100)] == [c(pa.array(texts[k : k + 100])).tolist() for k in range(0, 3000, 100)]
     with open(tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         other = tc.Counter(f.read())
     assert not other.separable and other(pa.array(texts[:50])).tolist() == other.encoded(texts[:50]).tolist()
