@@ -6,7 +6,11 @@ as Parquet and read again, so a lost executor repeats one stage's tasks at most.
 
 Defined results: null and empty texts fail the quality rules; the other stages
 follow their operators' docstrings; a row with a null doc_id is never grouped,
-nor dropped by the later stages; an empty table gives an empty result.
+nor dropped by the later stages; rows that repeat a doc_id stay or go together;
+documents that line dedup leaves without a word are copies of each other, so the
+one of the smallest id goes on, with its empty text; ties go to the smaller id;
+very long texts are taken whole; further columns, of any names, are kept as they
+are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,9 +40,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document of smaller id holds."""
     store = LineStore(spark, new_folder(spark, "pipeline-lines"), n_shards=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     store.insert(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    out = line_dedup(docs, store)
-    changed = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("bigint").alias("n_chars")}
-    return out.select(*[changed.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    # the other columns travel in one of their own, so their names can't clash with the operator's
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    out = line_dedup(docs.select("doc_id", "text", *([F.struct(*others).alias("document")] if others else [])), store)
+    changed = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("bigint").alias("n_chars")}
+    return out.select(*[changed[c] if c in changed else F.col(f"document.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,26 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert hits and set(got[3]) == set(got[2]) - hits
     out = cp.run(spark, str(tmp_path)).collect()
     assert {(x["doc_id"], x["sample"]) for x in out} == {(d, s) for d in got[3] for s in (1, 2)}
+
+
+def test_odd_and_no_rows(spark, tmp_path):
+    r = random.Random(2)
+    one, two = text(r, 60), text(r, 60)
+    names = ["kept", "lines", "gone", "n_lines", "document"]
+    rows = [(1, one), (2, None), (3, ""), (None, two), (4, one), (5, two), (5, two), (6, one + "\n" + two), (None, one), (7, text(r, 6000))]
+    schema = f"doc_id bigint, text string, {', '.join(f'{n} string' for n in names)}"
+    spark.createDataFrame([(1, text(r, 30)), (None, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, some in (("odd", rows), ("none", [])):
+        folder = tmp_path / name
+        folder.mkdir()
+        (tmp_path / name / "benchmark.parquet").symlink_to(tmp_path / "benchmark.parquet")
+        spark.createDataFrame([(*x, *names) for x in some], schema).write.parquet(str(folder / "documents.parquet"))
+        frame = spark.read.parquet(str(folder / "documents.parquet"))
+        for k, (_, stage) in enumerate(cp.STAGES[:-1]):
+            stage(spark, frame, str(folder)).write.parquet(str(folder / f"s{k}"))
+            frame = spark.read.parquet(str(folder / f"s{k}"))
+            assert frame.columns == ["doc_id", "text", *names] and all(x[n] == n for x in frame.collect() for n in names)
+        # the lines of 4 and 6 are those of 1 and 5, and both are empty then: 4 stays for the two
+        assert sorted((x["doc_id"] for x in frame.collect()), key=str) == sorted([1, 4, 5, 5, 7, None, None] if some else [], key=str)
+        out = cp.run(spark, str(folder)).collect()
+        assert len(out) == (2 * 6 + 1 if some else 0)  # two samples each, one of the empty text
