@@ -58,6 +58,12 @@ def test_entry_works_without_the_optional_parts(tmp_path):
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=env)
 
 
+@pytest.mark.parametrize("gone", ["sentencepiece", "tokenizers"])
+def test_entry_works_without_optional_libraries(gone):
+    code = f"import sys; sys.modules['{gone}'] = None\nimport __spark_entry__ as e; assert 'similar_topk' in e.queries() and 'op2_piece_sampling' not in e.queries()"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=HERE, check=True)
+
+
 def test_match_index_looks_at_the_whole_ranking(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
