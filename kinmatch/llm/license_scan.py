@@ -160,3 +160,43 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence texts and notices in every document."""
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _lines_sql(text: str) -> str:
+    """``canonical_lines`` in DuckDB SQL, whose patterns look neither ahead nor behind."""
+    marks = r"^[ \t/*#;%|>!-]*"
+    notice = rf"{marks}(copyright\b|\(c\)|©|all rights reserved\.?[ \t]*$)"
+    out = f"array_to_string([CASE WHEN regexp_matches(x, '{notice}') AND NOT regexp_matches(x, '{marks}copyright (holder|notice|owner)') THEN ' ' ELSE x END FOR x IN string_split(lower({text}), chr(10))], chr(10))"
+    for this, that in SPELLINGS:
+        out = f"replace({out}, {_quoted(this)}, {_quoted(that)})"
+    # a full stop before a digit stays: it is marked while the others go
+    out = f"regexp_replace(replace({out}, chr(1), ' '), '\\.([0-9])', chr(1) || '\\1', 'g')"
+    out = f"replace(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}+\\n\\x01]+', ' ', 'g'), chr(1), '.')"
+    return f"regexp_replace({out}, '\\bv(?:er|ersion)? ?([0-9])', 'version \\1', 'g')"
+
+
+def _joined_sql(lines: str) -> str:
+    return f"trim(regexp_replace({lines}, '\\s*\\n\\s*', ' ', 'g'), ' ')"
+
+
+def _sql() -> str:
+    """The same rows in DuckDB SQL: whole canonical texts are joined, not their digests."""
+    rows = [(name, x) for name, all_ in NOTICES.items() for x in all_]
+    rows += [(name, f"{title}\n\n{text}") for name, text in TEXTS.items() for title in TITLES[name]]
+    values = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in rows)
+    return f"""WITH raw(license, text) AS (VALUES {values}),
+known AS (SELECT form, min(license) AS license FROM (SELECT license, {_joined_sql(_lines_sql("text"))} AS form FROM raw) WHERE form <> '' GROUP BY form),
+doc AS (SELECT doc_id, {_lines_sql("text")} AS form FROM documents WHERE text IS NOT NULL),
+units AS (
+  SELECT doc_id, 'document' AS kind, {_joined_sql("form")} AS unit FROM doc
+  UNION ALL SELECT doc_id, 'paragraph', {_joined_sql("u")} FROM (SELECT doc_id, unnest(string_split_regex(form, '\\n[ ]*\\n')) AS u FROM doc) WHERE contains(u, chr(10))
+  UNION ALL SELECT doc_id, 'line', trim(u, ' ') FROM (SELECT doc_id, unnest(string_split(form, chr(10))) AS u FROM doc)
+)
+SELECT doc_id, kind, license, count(*) AS n FROM units JOIN known ON unit = form GROUP BY doc_id, kind, license"""
+
+
+OP8_SQL = _sql()

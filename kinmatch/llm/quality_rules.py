@@ -163,3 +163,48 @@ def kept_documents(docs: DataFrame, limits: Limits = Limits(), text_col: str = "
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the method's verdict for every whole text of ``documents``."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def _sql(limits: Limits) -> str:
+    """The same rows in DuckDB SQL, n-grams as strings of their words."""
+    duplicate, most_frequent = dict(limits.duplicate_ngrams), dict(limits.top_ngrams)
+    spans = sorted({5, *duplicate})
+    longest = max([*spans, *most_frequent])
+    leads = ", ".join(f"lead(w, {k}) OVER word AS w{k}" for k in range(1, longest))
+    gram = lambda n: "concat_ws(' ', w, " + ", ".join(f"w{k}" for k in range(1, n)) + ")"
+    parts = []
+    for n in spans:
+        parts.append(f"""
+at{n} AS (SELECT r, p, w, w{n - 1} IS NOT NULL AND count(*) OVER (PARTITION BY r, w{n - 1} IS NULL, {gram(n)}) > 1 AS again FROM word_at),
+in{n} AS (SELECT r, w, max(CAST(again AS INT)) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM at{n}),
+d{n} AS (SELECT r, sum(inside) AS words, sum(inside * length(w)) AS chars FROM in{n} GROUP BY r)""")
+    for n in most_frequent:
+        parts.append(f"""
+g{n} AS (SELECT r, count(*) AS times, length(replace(any_value({gram(n)}), ' ', '')) AS chars FROM word_at WHERE w{n - 1} IS NOT NULL GROUP BY r, {gram(n)}),
+t{n} AS (SELECT r, max(CAST(times AS HUGEINT) * 4294967296 + CASE WHEN times >= {limits.top_least_times} THEN times * chars ELSE 0 END) % 4294967296 AS chars FROM g{n} GROUP BY r)""")
+    share = lambda t: f"coalesce({t}.chars, 0) / CAST(greatest(coalesce(n.chars, 0), 1) AS DOUBLE)"
+    over = lambda what: " OR ".join(f"{share(f't{n}' if what is most_frequent else f'd{n}')} > {limit!r}::DOUBLE" for n, limit in what.items())
+    many_lines, their_chars = limits.duplicate_lines_and_chars
+    joins = " ".join(f"LEFT JOIN {t} ON {t}.r = doc.r" for t in ["l", *[f"d{n}" for n in spans], *[f"t{n}" for n in most_frequent]])
+    return f"""WITH doc AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text FROM documents),
+listed AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM doc),
+word AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM listed),
+n AS (SELECT r, count(*) AS words, sum(length(w)) AS chars FROM word GROUP BY r),
+word_at AS (SELECT r, p, w, {leads} FROM word WINDOW word AS (PARTITION BY r ORDER BY p)),
+line AS (SELECT r, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM (SELECT r, string_split(text, chr(10)) AS ls FROM doc)),
+later AS (SELECT r, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars, row_number() OVER (PARTITION BY r, line ORDER BY p) > 1 AS again FROM line WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+l AS (SELECT r, count(*) AS lines, count(*) FILTER (again) AS again, coalesce(sum(chars) FILTER (again), 0) AS chars FROM later GROUP BY r),{",".join(parts)},
+m AS (SELECT doc_id, coalesce(n.words, 0) AS n_words, CAST(coalesce(n.chars, 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(l.again, 0) AS n_dup_lines, CAST(coalesce(d5.words, 0) AS BIGINT) AS n_repeat_words,
+  coalesce(l.again, 0) / CAST(greatest(coalesce(l.lines, 0), 1) AS DOUBLE) AS dup_line_share, {share("l")} AS dup_line_char_share,
+  greatest(0.0::DOUBLE, {", ".join(share(f"d{n}") for n in duplicate)}) AS dup_ngram_share, greatest(0.0::DOUBLE, {", ".join(share(f"t{n}") for n in most_frequent)}) AS top_ngram_share,
+  {over(duplicate)} AS bad, {over(most_frequent)} AS top_bad
+  FROM doc LEFT JOIN n ON n.r = doc.r {joins}),
+judged AS (SELECT *, n_words < {limits.least_words} OR 100 * n_repeat_words > {limits.repeat_percent} * n_words AS base_failed,
+  dup_line_char_share > {limits.duplicate_line_chars!r}::DOUBLE OR (dup_line_share > {many_lines!r}::DOUBLE AND dup_line_char_share > {their_chars!r}::DOUBLE) AS line_bad FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR line_bad OR bad OR top_bad) AS kept,
+  dup_line_share, dup_line_char_share, dup_ngram_share, top_ngram_share,
+  CASE WHEN n_words < {limits.least_words} THEN 'short' WHEN base_failed THEN 'repeated windows' WHEN line_bad THEN 'repeated lines' WHEN bad THEN 'duplicate n-grams' WHEN top_bad THEN 'top n-gram' ELSE '' END AS reason FROM judged"""
+
+
+OP7_SQL = _sql(Limits())

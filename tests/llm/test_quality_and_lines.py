@@ -11,7 +11,7 @@ import pytest
 from kinmatch.llm import cuckoo
 from kinmatch.llm import line_dedup as line_dedup_module
 from kinmatch.llm.line_dedup import LineStore, line_dedup
-from kinmatch.llm.quality_rules import Limits, kept_documents, quality_rules
+from kinmatch.llm.quality_rules import OP7_SQL, Limits, kept_documents, quality_rules
 from kinmatch.llm.shared import new_folder
 from tests.llm.helpers import empty_documents, odd_documents, text, twins
 
@@ -186,3 +186,22 @@ def test_coverage_matches_brute_force(spark):
     for row in quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect():
         worst, top = coverage(texts[row["doc_id"]], Limits())
         assert row["dup_ngram_share"] == pytest.approx(worst) and row["top_ngram_share"] == pytest.approx(top)
+
+
+def test_sql_of_the_quality_rules_agrees(spark):
+    import duckdb
+
+    r = random.Random(5)
+    texts = [t for _, t, *_ in odd_documents(spark).collect() if t is None or len(t) < 10_000]
+    for _ in range(150):
+        lines = [" ".join(r.choice("a bb ccc d# é".split()) for _ in range(r.randrange(9))) for _ in range(r.randrange(1, 12))]
+        texts.append("\n".join(r.choice(lines) for _ in range(r.randrange(1, 20))))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    found = con.execute(OP7_SQL)
+    names = [d[0] for d in found.description]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(tuple(row) for row in quality_rules(docs).select(*names).collect())
+    assert got == sorted(found.fetchall())
+    assert {row[names.index("reason")] for row in got} >= {"", "short", "repeated windows"}

@@ -198,3 +198,23 @@ def test_unquoted_assignments_are_trained_on(spark):
     kept = secret_scan.candidates(labelled).where("start = at").select("doc_id")
     lost = labelled.join(kept, "doc_id", "left_anti").where(F.col("label") == 1)
     assert lost.count() == 0
+
+
+def test_sql_of_the_license_scan_agrees(spark):
+    import duckdb
+
+    r = random.Random(6)
+    known = [x for all_ in ls.NOTICES.values() for x in all_] + [f"{title}\n\n{text}" for name, text in ls.TEXTS.items() for title in ls.TITLES[name]]
+    other = ["Copyright (c) 2020 Someone", "copyright holder notices stay", "All rights reserved.", "plain words", "", " ", "v2.0 and ver 3", "x.5 ..7 \x01 y", "## MIT licence", "© 1999"]
+    texts = []
+    for _ in range(300):
+        t = r.choice(["\n", "\n\n", " "]).join(r.choice(known if r.random() < 0.5 else other) for _ in range(r.randrange(1, 5)))
+        texts.append(r.choice([str.upper, str.lower, lambda x: x, lambda x: x.replace("license", "licence"), lambda x: x.replace(" ", "  ")])(t))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [*enumerate(texts), (-1, None)])
+    found = con.execute(ls.OP8_SQL)
+    names = [d[0] for d in found.description]
+    docs = spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id bigint, text string")
+    got = sorted(tuple(row) for row in ls.license_scan(docs).select(*names).collect())
+    assert got == sorted(found.fetchall()) and len({row[names.index("license")] for row in got}) > 10
