@@ -16,6 +16,7 @@ from kinmatch import model
 from kinmatch.functions import expr_udfs, exprs, names, scalars
 from kinmatch.operators import blocks, graph
 from kinmatch.plans import adapters as ad
+from kinmatch.plans import path_modes
 from kinmatch.plans.registry import query
 from kinmatch.sources import flowchart, report
 from kinmatch.sources.cache import TableCache
@@ -397,3 +398,41 @@ def rewritten_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([r[:2] for r in _REWRITES], "no bigint, a string")
     out = expr_udfs.plain("a")
     return rows.select("no", out["text"].alias("plain"), out["width"].alias("width"))
+
+
+# Left function k has one path of steps 0..k%6, right function 100+m a chain of the steps i with (i+m)%3 <> 0 out of 8.
+_STEP_SQL = f"""k AS (SELECT CAST(unnest(range({N})) AS BIGINT) AS k),
+step AS (SELECT k, i, i % 3 + 1 AS w, i % 4 <> 3 AND k % 7 <> 6 AND NOT (i = 0 AND k % 2 = 1) AS valid FROM (SELECT k, unnest(range(k % 6 + 1)) AS i FROM k)),
+pair AS (SELECT k, m, k % 4 / 100.0::DOUBLE AS gate, (SELECT count(*) FROM range(8) AS r(i) WHERE (r.i + m) % 3 <> 0) AS n1 FROM (SELECT k, unnest([k, (k + 1) % {N}]) AS m FROM k)),
+sums AS (SELECT p.k, p.m, any_value(gate) AS gate, any_value(n1) AS n1, count(*) AS n0, count(*) FILTER (valid) AS nv, sum(w) FILTER (valid) AS wv, sum(w) AS wa,
+  count(*) FILTER (valid AND (i + m) % 3 <> 0) AS ns, coalesce(sum(w) FILTER (valid AND (i + m) % 3 <> 0), 0) AS ws FROM pair p JOIN step s ON s.k = p.k GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_STEP_SQL}, modes AS (
+  SELECT 'blocks' AS mode, k, m, CASE WHEN nv > 0 THEN ns / nv::DOUBLE END AS score, CASE WHEN nv > 0 THEN 0 END AS diff, CASE WHEN nv > 0 THEN 'ok' ELSE 'invalid' END AS status FROM sums
+  UNION ALL SELECT 'segments', k, m, CASE WHEN nv > 0 THEN ws / wv::DOUBLE END, CASE WHEN nv > 0 THEN abs(n1 - n0) END, CASE WHEN nv > 0 THEN 'ok' ELSE 'invalid' END FROM sums WHERE gate >= 0.01
+  UNION ALL SELECT 'prefixes', k, m, CASE WHEN m % 5 = 0 THEN 0 WHEN nv > 0 THEN ws / wa::DOUBLE END, CASE WHEN m % 5 = 0 THEN 100000 WHEN nv > 0 THEN abs(n1 - n0) END, CASE WHEN m % 5 = 0 THEN 'too_hard' WHEN nv > 0 THEN 'ok' ELSE 'invalid' END FROM sums WHERE gate >= 0.01)
+SELECT mode, k AS f0, 100 + m AS f1, round(score, 6) AS score, CAST(diff AS DOUBLE) AS diff, status FROM modes""")
+def compare_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions compared by paths of blocks, of segments and of prefixes."""
+    k = spark.range(N).select(F.col("id").alias("k"))
+    pairs = k.select("k", F.explode(F.array("k", (F.col("k") + 1) % N)).alias("m")).select(F.col("k").alias("f0"), (100 + F.col("m")).alias("f1"), (F.col("k") % 4 / 100.0).alias("score"))
+    steps = k.select("k", F.explode(F.sequence(F.lit(0), F.col("k") % 6)).alias("i"))
+    name = F.concat(F.lit("b"), F.col("i").cast("string"))
+    texts = lambda cond, var: F.when(cond, F.array(F.format_string(f"(add {var}:8 %d:8)", F.col("i") + 1))).otherwise(F.array().cast("array<string>"))
+    valid = (F.col("i") % 4 != 3) & (F.col("k") % 7 != 6) & ~((F.col("i") == 0) & (F.col("k") % 2 == 1))
+    none = F.array().cast("array<string>").alias("constraints")
+    blocks0 = steps.select(F.col("k").alias("f0"), name.alias("block"), texts(valid, "x").alias("formulas"), none)
+    paths0 = steps.select(F.col("k").alias("f0"), F.lit(0).cast("bigint").alias("path_no"), F.col("i").alias("pos"), name.alias("block"), (F.col("i") % 3 + 1).alias("weight"))
+    chain = k.select("k", F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint")), lambda i: (i + F.col("k")) % 3 != 0).alias("c")).select((100 + F.col("k")).alias("f1"), F.posexplode("c").alias("at", "i"), "c")
+    blocks1 = chain.select("f1", name.alias("block"), texts(F.lit(True), "z").alias("formulas"), none)
+    link = lambda before: F.coalesce(F.concat(F.lit("b"), before.cast("string")), F.lit("0")).alias("src")
+    graph1 = chain.select("f1", link(F.get("c", F.col("at") - 1)), name.alias("dst"))
+    graph0 = steps.select(F.col("k").alias("f0"), link(F.when(F.col("i") > 0, F.col("i") - 1)), name.alias("dst"))
+    paths1 = k.select((100 + F.col("k")).alias("f1"), F.explode(F.sequence(F.lit(1), F.when(F.col("k") % 5 == 0, 21).otherwise(1))).alias("path_no"))
+    out = None
+    for mode in ("blocks", "segments", "prefixes"):
+        rows = path_modes.compared_paths(pairs, paths0, paths1, graph0, graph1, blocks0, blocks1, path_modes.PathComparison(mode=mode))
+        rows = rows.select(F.lit(mode).alias("mode"), "f0", "f1", F.round("score", 6).alias("score"), "diff", "status")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -3,11 +3,12 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from kinmatch import model
 from kinmatch.operators import blocks, graph
-from kinmatch.plans import compare
+from kinmatch.plans import compare, path_modes
 from tests.conftest import rows
 
 FORMULA = f"STRUCT<lhs: STRING, nodes: ARRAY<{model.NODE}>>"
@@ -69,3 +70,23 @@ def test_comparison(spark):
         got = {(r["f0"], r["f1"]): (r["score"], r["diff"], r["status"]) for r in compare.compared(f0, f1, p0, p1, compare.Comparison(mode=mode)).collect()}
         assert got == {(1, 7): (score, 0.0, "ok"), (1, 9): (0.0, 0.5, "ok"), (2, 7): (None, None, "invalid"), (2, 9): (None, None, "invalid")}
     assert [r["f1"] for r in compare.ranked_comparison(compare.compared(f0, f1, p0, p1)).orderBy("rank").collect()] == [7, 9]
+
+
+def test_comparison_by_paths(spark):
+    pairs = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.001), (2, 7, 0.5)], "f0 int, f1 int, score double")
+    paths0 = spark.createDataFrame([(1, 0, 0, "a", 2), (1, 0, 1, "r", 1), (1, 0, 2, "b", 3), (1, 1, 0, "a", 2), (1, 1, 1, "c", 1)], "f0 int, path_no bigint, pos int, block string, weight int")
+    paths1 = spark.createDataFrame([(7, 0), (7, 1), (8, 0)], "f1 int, path_no bigint")
+    graph0 = spark.createDataFrame([(1, "0", "a"), (1, "a", "r"), (1, "r", "b"), (1, "a", "c")], "f0 int, src string, dst string")
+    graph1 = spark.createDataFrame([(7, "0", "A"), (7, "A", "X"), (7, "X", "B"), (7, "A", "C"), (8, "0", "A")], "f1 int, src string, dst string")
+    contents = lambda f, names: spark.createDataFrame([(f, n, *c) for n, c in names.items()], "f int, block string, formulas array<string>, constraints array<string>")
+    b, c = (["(add x:8 1:8)"], []), ([], ["(eq x:8 3:8)"])
+    blocks0 = contents(1, {"a": (["(mul x:8 3:8)"], []), "r": (None, None), "b": b, "c": c}).withColumnRenamed("f", "f0")
+    blocks1 = contents(7, {"A": (["(mul 3:8 q:8)"], []), "X": ([], []), "B": b, "C": c}).withColumnRenamed("f", "f1")
+    run = lambda mode, **k: {(r["f0"], r["f1"]): tuple(r)[2:4] + (r["status"],) for r in path_modes.compared_paths(pairs, paths0, paths1, graph0, graph1, blocks0, blocks1, path_modes.PathComparison(mode=mode, **k)).collect()}
+    # single blocks: c has no formula and isn't valid
+    assert run("blocks") == {(1, 7): (1.0, 0.0, "ok"), (1, 8): (0.0, 0.0, "ok"), (2, 7): (None, None, "invalid")}
+    assert run("segments") == {(1, 7): (1.0, 0.0, "ok"), (2, 7): (None, None, "invalid")}
+    assert run("segments", gate=0.0)[1, 8] == (0.0, 3.0, "ok")
+    # the step without contents counts in the length
+    assert run("prefixes")[1, 7] == (pytest.approx(8 / 9), 0.0, "ok")
+    assert run("prefixes", most_prefixed=1)[1, 7] == (0.0, 100000.0, "too_hard")
