@@ -31,8 +31,9 @@ def jaccard_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     Set sizes travel with the features, so each side is read once and the only shuffle is that of counts already
     combined in each task.
     """
-    a = left.select("f0", F.size("feats").alias("n0"), F.explode("feats").alias("feat"))
-    b = right.select("f1", F.size("feats").alias("n1"), F.explode("feats").alias("feat"))
+    # sizes are taken before, not beside, the explosion: beside it, each row would carry its whole set along
+    a = left.select("f0", F.size("feats").alias("n0"), "feats").select("f0", "n0", F.explode("feats").alias("feat"))
+    b = right.select("f1", F.size("feats").alias("n1"), "feats").select("f1", "n1", F.explode("feats").alias("feat"))
     if small_enough(a, BROADCAST_ROWS):
         a = F.broadcast(a)
     elif small_enough(b, BROADCAST_ROWS):
