@@ -543,7 +543,7 @@ def compare_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     formula = F.format_string("(%s a:8 %d:8)", op, F.length("text") % 5)
     side = lambda cond, f: (c.where(cond).groupBy(F.col("conv_id").alias(f)).agg(words.alias("feats")), c.where(cond).select(F.col("conv_id").alias(f), F.col("turn").alias("no"), F.when(F.length("text") % 4 > 0, name).alias("name"), formula.alias("formula")))
     (f0, p0), (f1, p1) = side("role = 'user'", "f0"), side("role <> 'user'", "f1")
-    out = compare.compared(f0, f1, p0, p1, compare.Comparison(gate=0.05, rules=ad.WORD_RULES))
+    out = compare.compared(f0, f1, p0, p1, compare.Comparison(gate=0.05, rules=ad.WORD_RULES), top=5)
     return compare.ranked_comparison(out, 5).select("f0", "f1", F.round("score", 6).alias("score"), F.round("diff", 6).alias("diff"), F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.functions import expr_udfs
 from kinmatch.functions.names import LIBRARY, Rules, normalised
-from kinmatch.operators import matching, ranking, similarity
+from kinmatch.operators import pair_blocks, ranking, similarity
 
 
 @dataclass(frozen=True)
@@ -23,40 +25,42 @@ class Comparison:
     rules: Rules = LIBRARY
 
 
-def _verdicts(pairs: DataFrame, p: Comparison) -> DataFrame:
-    """(a, b, score) of distinct formula pairs; too many variables count as a match at the threshold."""
-    if p.mode == "trees":
-        return pairs.withColumn("score", F.when(expr_udfs.tree_equal("a", "b"), 1.0).otherwise(0.0))
-    v = F.col("v")
-    score = F.when(v == "equal", 1.0).when(v == "too_many_vars", p.accept).when((v == "unknown") & F.lit(p.unknown_is_equal), 1.0).otherwise(0.0)
-    return pairs.withColumn("v", expr_udfs.formula_equal("a", "b")).select("a", "b", score.alias("score"))
+def _decider(p: Comparison):
+    """Whether two formulas count as equal; too many variables count as a match at the threshold."""
+    trees, accept, unknown = p.mode == "trees", p.accept, 1.0 if p.unknown_is_equal else 0.0
+
+    def decide(a: str, b: str) -> bool:
+        prove = expr_udfs.tree_equal if trees else expr_udfs.formula_equal
+        v = prove.func(pd.Series([a]), pd.Series([b])).iloc[0]
+        score = float(bool(v)) if trees else {"equal": 1.0, "too_many_vars": accept, "unknown": unknown}.get(v, 0.0)
+        return score >= accept
+
+    return decide
+
+
+def _functions(features: DataFrame, paths: DataFrame, id_: str, rules: Rules) -> DataFrame:
+    """A side as ``compared_blocks`` takes it: one row for each function that has a feature set."""
+    name = normalised(F.array("name"), rules)
+    memory = F.arrays_overlap(name, F.array(*[F.lit(x) for x in similarity.MEMORY_NAMES]))
+    # names are alike if their normal forms are equal; equal names have equal forms
+    path = F.struct(F.col("no").cast("bigint").alias("no"), F.when(F.col("name").isNotNull(), F.array_join(F.array_sort(name), "\x01")).alias("form"), memory.alias("memory"), "formula")
+    own = paths.groupBy(id_).agg(F.collect_list(path).alias("paths"))
+    form = features.where("feats is not null").select(id_, "feats", normalised(F.col("feats"), rules).alias("form"))
+    sets = pair_blocks.feature_columns(form, id_, "feats", "form")
+    return sets.join(own, id_, "left").withColumn("paths", F.coalesce("paths", F.array().cast(own.schema["paths"].dataType)))
 
 
-def compared(features0: DataFrame, features1: DataFrame, paths0: DataFrame, paths1: DataFrame, p: Comparison = Comparison()) -> DataFrame:
+def compared(features0: DataFrame, features1: DataFrame, paths0: DataFrame, paths1: DataFrame, p: Comparison = Comparison(), top: int | None = None) -> DataFrame:
     """(f0, f1, score, diff, solved, status) of the pairs that pass the gate.
 
     features are (f0 or f1, feats), paths (f0 or f1, no, name, formula): a path's number, last call and formula. Paths
-    are compared if their last calls are alike; an unknown last call is like any. Equal formula pairs are decided once.
-    Functions without paths are invalid: their pairs have status ``invalid`` and no score.
+    are compared if their last calls are alike; an unknown last call is like any. A worker decides equal formula pairs once.
+    Functions without paths are invalid: their pairs have status ``invalid`` and no score. With ``top`` invalid pairs and
+    such that can't be among the first so many of their f0 in ``ranked_comparison`` are left off where they are made.
     """
-    gated = similarity.gated_pairs(features0, features1, p.rules, p.gate).withColumnRenamed("score", "gate")
-    form = lambda name: F.array_join(F.array_sort(normalised(F.array(name), p.rules)), "\x01")
-    memory = F.array(*[F.lit(x) for x in similarity.MEMORY_NAMES])
-    keys = lambda: F.array_compact(F.array(F.concat(F.lit("="), F.col("name")), F.concat(F.lit("~"), form(F.col("name"))), F.when(F.arrays_overlap(normalised(F.array("name"), p.rules), memory), F.lit("memory"))))
-    a = paths0.select("f0", F.col("no").alias("i"), "name", F.col("formula").alias("a"), keys().alias("k0"))
-    b = paths1.select("f1", F.col("no").alias("j"), F.col("name").alias("name1"), F.col("formula").alias("b"), keys().alias("k1"))
-    # pairs of functions first, so that only paths of candidate pairs meet
-    pairs = gated.select("f0", "f1").join(a, "f0").join(b, "f1").where(F.col("name").isNull() | F.col("name1").isNull() | F.arrays_overlap("k0", "k1"))
-    pairs = pairs.select("f0", "f1", "i", "j", "a", "b")
-    known = _verdicts(pairs.select("a", "b").distinct(), p)
-    scored = pairs.join(known, ["a", "b"]).where(F.col("score") >= p.accept).select("f0", "f1", "i", "j", "score")
-    matched = matching.greedy_pairs(scored, ["f0", "f1"], p.accept)
-    left = paths0.groupBy("f0").agg(F.count("*").alias("n_left"))
-    right = paths1.groupBy("f1").agg(F.count("*").alias("n_right"))
-    totals = gated.join(left, "f0", "left").join(right, "f1", "left")
-    usable = totals.where("n_left > 0 and n_right > 0")
-    scores = matching.function_scores(matched, usable.select("f0", "f1", "n_left"), ["f0", "f1"])
-    out = totals.join(scores, ["f0", "f1"], "left")
+    n0, n1 = pair_blocks.blocks_of(features0), pair_blocks.blocks_of(features1)
+    left, right = _functions(features0, paths0, "f0", p.rules), _functions(features1, paths1, "f1", p.rules)
+    out = pair_blocks.compared_blocks(left, right, n0, n1, p.gate, _decider(p), f"{p.mode} {p.accept} {p.unknown_is_equal}", top)
     ok = F.col("score").isNotNull()
     return out.select("f0", "f1", "score", F.when(ok, 1 - F.col("gate")).alias("diff"), ok.alias("solved"), F.when(ok, "ok").otherwise("invalid").alias("status"))
 
