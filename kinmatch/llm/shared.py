@@ -11,6 +11,7 @@ import atexit
 import ctypes
 import functools
 import gc
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,6 +72,25 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of given rows, in one partition, made without Python workers.
+
+    ``createDataFrame`` of a list starts workers of a second kind, which stay in memory beside the operators' own.
+    """
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def gathered(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """df in that many tasks at most, but two for each core; without a number a sixteenth of the shuffle's partitions, for narrow rows.
+
+    Every file that is written costs more than its rows where they are few: two processes started to set its rights, on file systems that
+    need it. Both bounds grow with the corpus or the cluster.
+    """
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) // 16 if tasks is None else tasks
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, tasks))
+
+
 def release() -> None:
     """Give freed memory of this process back to the machine."""
     gc.collect()

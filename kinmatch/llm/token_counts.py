@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm import textkernel as tk
-from kinmatch.llm.shared import narrowed, new_folder, tidy
+from kinmatch.llm.shared import gathered, narrowed, new_folder, tidy, written
 
 _CACHE = "content binary, tokenizer binary, n_tokens bigint"
 #: Distinct misses up to this many are sent to all tasks (40 bytes each), so that a warm cache moves no text.
 BROADCAST_ROWS = 200_000
+#: Bytes of distinct text for one task to encode at least, so that few texts make few files.
+TASK_BYTES = 8 << 20
 
 
 class Counter:
@@ -126,7 +128,7 @@ def version_of(spec: str) -> bytes:
 
 def read_cache(spark: SparkSession, path: str, version: bytes) -> DataFrame:
     """(content, n_tokens) of one tokenizer version; an absent cache is created empty."""
-    spark.createDataFrame([], _CACHE).write.mode("append").parquet(path)
+    written(spark, [], _CACHE).write.mode("append").parquet(path)
     rows = spark.read.schema(_CACHE).parquet(path).where(F.col("tokenizer") == F.lit(bytearray(version)))
     return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
@@ -142,9 +144,12 @@ def token_counts(docs: DataFrame, cache: str, tokenizer_file: str, limit: int =
 
     known = read_cache(spark, cache, version)
     folder = new_folder(spark, "token-counts")
-    texts.select("content").distinct().join(known, "content", "left_anti").write.parquet(f"{folder}/misses")
-    misses = spark.read.schema("content binary").parquet(f"{folder}/misses")
-    if misses.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    sizes = texts.groupBy("content").agg(F.first(F.octet_length("text").cast("bigint")).alias("n_bytes"))
+    gathered(sizes.join(known, "content", "left_anti")).write.parquet(f"{folder}/misses")
+    misses = spark.read.schema("content binary, n_bytes bigint").parquet(f"{folder}/misses")
+    n_misses, n_bytes = misses.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    misses = misses.select("content")
+    if n_misses <= BROADCAST_ROWS:
         todo = texts.join(F.broadcast(misses), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
     else:  # copies meet before the shuffle, then both sides lie by digest
         todo = texts.groupBy("content").agg(F.first("text").alias("text")).join(misses.hint("merge"), "content", "left_semi")
@@ -156,11 +161,12 @@ def token_counts(docs: DataFrame, cache: str, tokenizer_file: str, limit: int =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count(batch.column(1)))], names=["content", "n_tokens"])
 
-    counted = todo.select("content", "text").mapInArrow(tidy(encode), "content binary, n_tokens bigint")
+    todo = gathered(todo.select("content", "text"), n_bytes // TASK_BYTES + 1)
+    counted = todo.mapInArrow(tidy(encode), "content binary, n_tokens bigint")
     counted.select("content", F.lit(bytearray(version)).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     known = read_cache(spark, cache, version)
     rows = texts.select("doc_id", "content", F.octet_length("text").cast("bigint").alias("n_bytes"))
-    return rows.join(known, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return gathered(rows.join(known, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,17 @@ import sentencepiece
 from kinmatch.llm import piece_sampling as ps
 from kinmatch.llm import token_counts as tc
 from kinmatch.llm.piece_model import LatticeStore, PieceModel
-from kinmatch.llm.shared import new_folder
+from kinmatch.llm.shared import new_folder, written
 from tests.llm.helpers import empty_documents, odd_documents, text, twins
 
 tokenizers = pytest.importorskip("public_tokenizers")
 MODEL = tokenizers.path("piece_bpe_32k.model")
 
 
+def folder_files(folder: str) -> list[Path]:
+    return list(Path(folder.removeprefix("file:")).glob("part-*"))
+
+
 @pytest.fixture(scope="module")
 def model() -> PieceModel:
     with open(MODEL, "rb") as f:
@@ -172,3 +177,27 @@ def test_counts_of_odd_and_no_rows(spark):
     got = sorted(((x["doc_id"], x["n_bytes"], x["n_tokens"] == 0) for x in tc.token_counts(odd_documents(spark), new_folder(spark, "cache"), file).collect()), key=str)
     assert len(got) == 9 and (2, 0, True) in got and (3, 0, True) in got and (None, 17, False) in got
     assert tc.token_counts(empty_documents(spark), new_folder(spark, "cache"), file).count() == 0
+
+
+def test_counts_of_few_texts_make_few_files(spark):
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    docs = spark.createDataFrame([(i, f"text {i % 150}") for i in range(300)], "doc_id bigint, text string")
+    cache, out = new_folder(spark, "cache"), new_folder(spark, "out")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        tc.token_counts(docs, cache, tokenizers.path("byte_bpe_50k.json"), limit=1).write.parquet(out)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert spark.read.parquet(cache).count() == 150 and spark.read.parquet(out).selectExpr("count(*)", "count(distinct doc_id)").first() == (300, 300)
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert len(folder_files(out)) <= most and len(folder_files(cache)) <= most + 2
+
+
+def test_tables_of_given_rows_start_no_workers_of_their_own(spark):
+    for df in (written(spark, [{"a": 1, "b": None}, {"a": None, "b": "x\"y"}], "a int, b string"), written(spark, [], "a binary, b bigint")):
+        assert "Python" not in df._jdf.queryExecution().toRdd().toDebugString()
+    assert [tuple(x) for x in written(spark, [{"a": 1, "b": None}, {"a": None, "b": "x\"y"}], "a int, b string").collect()] == [(1, None), (None, "x\"y")]
+    assert written(spark, [], "a binary, b bigint").dtypes == [("a", "binary"), ("b", "bigint")] and written(spark, [], "a binary").count() == 0
