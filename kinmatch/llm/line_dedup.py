@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm import cuckoo
-from kinmatch.llm.shared import folders_in, narrowed, new_folder, tidy
+from kinmatch.llm.shared import folders_in, narrowed, new_folder, tidy, written
 
 LEAST = 10
 #: Filters are sent to all tasks up to this size in all; beyond it lines go to the filters.
@@ -113,11 +113,12 @@ class LineStore:
     def _commit(self) -> None:
         """Make the change count; fails if the state has changed in the meantime."""
         rows = [(what, g, f) for what, names in self.wrote.items() for g, f in names] + [("store", self.n_shards, str(self.least))]
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/manifest/{self.generation}")
+        rows = [{"what": what, "generation": g, "folder": f} for what, g, f in rows]
+        written(self.spark, rows, _MANIFEST).write.mode("errorifexists").parquet(f"{self.path}/manifest/{self.generation}")
 
     def _read(self, what: str, schema: str, wrote: list[tuple[int, str]] | None = None) -> DataFrame:
         folders = [f"{self.path}/{what}/{f}" for _, f in (self.wrote[what] if wrote is None else wrote)]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*folders) if folders else written(self.spark, [], schema)
 
     def postings(self) -> DataFrame:
         """Postings of the documents that are in the store: a deletion holds for the batches before it."""

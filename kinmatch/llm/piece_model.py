@@ -252,7 +252,7 @@ class LatticeStore:
     ``slice_bytes`` at a time. What it holds changes the time, never a result.
     """
 
-    def __init__(self, model: PieceModel, most: int = 3 << 19, slice_bytes: int = 1 << 17) -> None:
+    def __init__(self, model: PieceModel, most: int = 3 << 18, slice_bytes: int = 1 << 17) -> None:
         self.model, self.most, self.slice_bytes = model, most, slice_bytes
         self.known: dict[bytes, int] = {}  # strings in order of their first nodes
         self.base, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each string: first node, chunks that held it

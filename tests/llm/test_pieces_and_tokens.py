@@ -12,6 +12,7 @@ import sentencepiece
 
 from kinmatch.llm import piece_sampling as ps
 from kinmatch.llm import token_counts as tc
+from kinmatch.llm.line_dedup import LineStore
 from kinmatch.llm.piece_model import LatticeStore, PieceModel
 from kinmatch.llm.shared import new_folder, written
 from tests.llm.helpers import empty_documents, odd_documents, text, twins
@@ -140,6 +141,19 @@ def test_sampling_frames(spark):
     assert ps.sample_segmentations(empty_documents(spark), MODEL).count() == 0
 
 
+def test_store_of_lattices_stays_small(model):
+    """Two workers with their lattices have to fit beside an executor's heap."""
+    r = random.Random(3)
+    store, most = LatticeStore(model), 0
+    for _ in range(14):
+        strings = list({(" " + "".join(r.choices("etaoinshrdlu", k=8))).encode() for _ in range(20_000)})
+        ends = np.cumsum([len(x) for x in strings])
+        store.places(b"".join(strings), ends - [len(x) for x in strings], ends)
+        at = store.lattice
+        most = max(most, sum(x.nbytes for x in (store.data, at.begin, at.stop, at.total, at.to, at.piece, at.share)))
+    assert most < 64e6
+
+
 def test_token_counts_match_the_library():
     with open(tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         spec = f.read()
@@ -197,7 +211,8 @@ def test_counts_of_few_texts_make_few_files(spark):
 
 
 def test_tables_of_given_rows_start_no_workers_of_their_own(spark):
-    for df in (written(spark, [{"a": 1, "b": None}, {"a": None, "b": "x\"y"}], "a int, b string"), written(spark, [], "a binary, b bigint")):
+    store = LineStore(spark, new_folder(spark, "t"), n_shards=3)
+    for df in (store._read("deleted", "doc_id bigint"), written(spark, [{"a": 1, "b": None}, {"a": None, "b": "x\"y"}], "a int, b string"), written(spark, [], "a binary, b bigint")):
         assert "Python" not in df._jdf.queryExecution().toRdd().toDebugString()
     assert [tuple(x) for x in written(spark, [{"a": 1, "b": None}, {"a": None, "b": "x\"y"}], "a int, b string").collect()] == [(1, None), (None, "x\"y")]
     assert written(spark, [], "a binary, b bigint").dtypes == [("a", "binary"), ("b", "bigint")] and written(spark, [], "a binary").count() == 0
