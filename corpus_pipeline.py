@@ -63,7 +63,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every document."""
     import public_tokenizers
 
-    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2)
+    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, sparing=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

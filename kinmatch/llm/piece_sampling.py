@@ -41,10 +41,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinmatch.llm import textkernel as tk
 from kinmatch.llm.piece_model import Lattice, LatticeStore, PieceModel
-from kinmatch.llm.shared import narrowed, release, tidy
+from kinmatch.llm.shared import narrowed, release, release_early, tidy
 
 #: Strings are told apart, and their lattices built, once for so many bytes of text.
 CHUNK_BYTES = 1 << 19
+#: Bytes of strings whose lattices a worker keeps, and a sparing one.
+STORE_BYTES, SPARING_BYTES = 3 << 19, 3 << 18
 SCHEMA = "doc_id bigint, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
 
 
@@ -297,30 +299,33 @@ def sampled(store: LatticeStore, texts: pa.Array, keys: np.ndarray, k: int, seed
         yield rows + first, np.arange(len(rows)) - np.searchsorted(rows, rows) + 1, found, ids, cut, [whole[d] for d in rows]
 
 
-_STORES: dict[tuple[bytes, float], LatticeStore] = {}
+_STORES: dict[tuple[bytes, float, int], LatticeStore] = {}
 
 
-def _store(proto: bytes, theta: float) -> LatticeStore:
+def _store(proto: bytes, theta: float, most: int = STORE_BYTES) -> LatticeStore:
     """This worker's model and lattices, kept from task to task; one at a time."""
-    key = (hashlib.sha256(proto).digest(), theta)
+    key = (hashlib.sha256(proto).digest(), theta, most)
     if key not in _STORES:
         _STORES.clear()
-        _STORES[key] = LatticeStore(PieceModel(proto, theta))
+        _STORES[key] = LatticeStore(PieceModel(proto, theta), most)
         release()  # building the trie takes more than keeping it
     return _STORES[key]
 
 
-def sample_segmentations(docs: DataFrame, model_file: str, k: int = 2, theta: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def sample_segmentations(docs: DataFrame, model_file: str, k: int = 2, theta: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, sparing: bool = False) -> DataFrame:
     """k distinct sampled segmentations of every whole text: ids, log probability, perturbed value and inclusion score.
 
     With ``digests``, ids are given as their number and SHA-256 (32-bit little-endian), with a round trip through
-    ``decode`` in ``decoded_equal``.
+    ``decode`` in ``decoded_equal``. ``sparing`` takes less memory and more time, with the same rows: for workers beside
+    a heap that earlier steps have filled.
     """
     with open(model_file, "rb") as file:
         sent = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = _store(sent.value, theta)
+        if sparing:
+            release_early()
+        store = _store(sent.value, theta, SPARING_BYTES if sparing else STORE_BYTES)
         for batch in batches:
             keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for rows, numbers, samples, ids, cut, whole in sampled(store, batch.column(1), keys, k, seed):

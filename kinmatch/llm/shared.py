@@ -99,6 +99,13 @@ def release() -> None:
         libc.malloc_trim(0)
 
 
+def release_early() -> None:
+    """Let this process give back arrays of 1 MB and more as soon as they are freed: glibc else keeps ever larger ones, up to 32 MB each."""
+    if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 23)  # M_TRIM_THRESHOLD
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow in bounded memory.
 

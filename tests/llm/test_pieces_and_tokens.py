@@ -3,6 +3,8 @@ from __future__ import annotations
 import collections
 import math
 import random
+import subprocess
+import sys
 from pathlib import Path
 
 import numpy as np
@@ -141,10 +143,10 @@ def test_sampling_frames(spark):
     assert ps.sample_segmentations(empty_documents(spark), MODEL).count() == 0
 
 
-def test_store_of_lattices_stays_small(model):
+def test_sparing_store_of_lattices_stays_small(model):
     """Two workers with their lattices have to fit beside an executor's heap."""
     r = random.Random(3)
-    store, most = LatticeStore(model), 0
+    store, most = LatticeStore(model, ps.SPARING_BYTES), 0
     for _ in range(14):
         strings = list({(" " + "".join(r.choices("etaoinshrdlu", k=8))).encode() for _ in range(20_000)})
         ends = np.cumsum([len(x) for x in strings])
@@ -154,6 +156,29 @@ def test_store_of_lattices_stays_small(model):
     assert most < 64e6
 
 
+def test_sparing_workers_give_large_arrays_back_at_once():
+    code = """
+import re
+import numpy as np
+from kinmatch.llm.shared import release_early
+resident = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+np.ones(1 << 21) + 1
+release_early()
+before = resident()
+pairs = [(np.ones(1 << 18), bytearray(100_000)) for _ in range(60)]
+most, kept = resident(), [x for _, x in pairs]
+del pairs
+print(most - before, resident() - before)
+"""
+    most, left = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split())
+    assert most > 100 and left < 30
+
+
+def test_sparing_samples_are_the_same(spark):
+    plain, sparing = (sorted(map(str, ps.sample_segmentations(odd_documents(spark), MODEL, sparing=x).collect())) for x in (False, True))
+    assert plain and plain == sparing
+
+
 def test_token_counts_match_the_library():
     with open(tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         spec = f.read()
