@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 
 from kinmatch.llm import alignment
 from kinmatch.llm import textkernel as tk
-from kinmatch.llm.components import components
-from kinmatch.llm.shared import materialise, narrowed, new_folder, tidy
+from kinmatch.llm.components import stars
+from kinmatch.llm.shared import materialise, narrowed, new_folder, observed, tidy
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,6 @@ class OrderMinHash:
 
 #: Classes of words and counts that a text's bits tell apart; FOLDED words of 64 bits are the whole code, xor-ed together.
 CELLS, LEVELS, FOLDED = 512, 4, 4
-_CODE = [f"s{i}" for i in range(CELLS * LEVELS // 64)]
 _FOLD = [f"f{i}" for i in range(FOLDED)]
 
 
@@ -157,9 +156,15 @@ def codes(words: tk.Words) -> np.ndarray:
     return np.packbits(has.reshape(words.n_docs, LEVELS * CELLS), axis=1).view(np.int64)
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with one of the ids (doc_id, distinct, a written table)."""
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+def folded(code: np.ndarray) -> np.ndarray:
+    """Codes in FOLDED words: folding can only make two texts more alike."""
+    return np.bitwise_xor.reduce(code.reshape(len(code), CELLS * LEVELS // 64 // FOLDED, FOLDED), axis=1)
+
+
+def _texts(docs: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
+    """The rows of docs with one of the ids (doc_id, distinct)."""
+    ids, seen = observed(ids, folder, rows=F.count("*"))
+    if seen["rows"] <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     return docs.join(ids, "doc_id", "left_semi")
 
@@ -178,18 +183,19 @@ def _sketched(docs: DataFrame, p: OrderMinHash) -> DataFrame:
                 ends = pa.array(np.searchsorted(doc[order], np.arange(n + 1)).astype(np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64)))
                 columns = [batch.column(0).slice(first, n), pa.array(digest[:, 0].copy().view(np.int64)), pa.array(digest[:, 1].copy().view(np.int64)), pa.array(np.diff(words.bounds)), lists]
-                columns += [pa.array(c.copy()) for c in codes(words).T]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n_words", "keys", *_CODE])
+                code = codes(words)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * code.shape[1]), pa.array(code.ravel())))
+                columns += [pa.array(c.copy()) for c in folded(code).T]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d1", "d2", "n_words", "keys", "code", *_FOLD])
 
-    code = "".join(f", {s} bigint" for s in _CODE)
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id bigint, d1 bigint, d2 bigint, n_words bigint, keys array<bigint>{code}")
+    fold = "".join(f", {f} bigint" for f in _FOLD)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id bigint, d1 bigint, d2 bigint, n_words bigint, keys array<bigint>, code array<bigint>{fold}")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, p: OrderMinHash, folder: str) -> DataFrame:
     """The pairs (a, b) whose texts are as similar as asked for."""
     left, right = (pairs.select(F.col(side).alias("doc_id")).distinct() for side in ("a", "b"))
-    ids = materialise(left.unionByName(right).distinct(), f"{folder}/ids")
-    texts = _texts(docs, ids)
+    texts = _texts(docs, left.unionByName(right).distinct(), f"{folder}/ids")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -226,19 +232,16 @@ def _other(code: list[str]) -> list[Column]:
     return [F.col(s).alias(f"x_{s}") for s in code]
 
 
-def _folded() -> list[Column]:
-    """The code in FOLDED words: folding can only make two texts more alike."""
-    out = [F.col(s) for s in _CODE[:FOLDED]]
-    for i, s in enumerate(_CODE[FOLDED:]):
-        out[i % FOLDED] = out[i % FOLDED].bitwiseXOR(F.col(s))
-    return [c.alias(f) for c, f in zip(out, _FOLD, strict=True)]
-
-
 def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with their component; a node without links is its own."""
     return members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
+def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Links that stand for the components known so far, and new ones."""
+    return links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
 def _star(members: DataFrame, p: OrderMinHash) -> DataFrame:
     """Pairs (a, b) of every bucket's centre with its members of other components."""
     centres = members.where("id = centre").select("key", F.col("n").alias("m"), F.col("root").alias("rx"), *_other(_FOLD)).distinct()
@@ -252,9 +255,13 @@ def _centred(members: DataFrame, turn: int) -> DataFrame:
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with the largest component and the number of members."""
+    """Members of buckets that hold several components."""
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    placed = placed.join(mixed, "key")
+    return placed.join(mixed, "key")
+
+
+def _sized(placed: DataFrame) -> DataFrame:
+    """Members with their bucket's largest component and number of members."""
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.sum("size").alias("members"))
     return placed.join(largest, "key")
@@ -297,7 +304,7 @@ def _possible(key: int, small: _Rows, others: _Rows, p: OrderMinHash) -> Iterato
 
 def _cross(mixed: DataFrame, nodes: DataFrame, p: OrderMinHash) -> DataFrame:
     """Pairs (a, b) of different components in one bucket, compared by blocks of about p.crowd members."""
-    whole = nodes.select("id", F.slice("keys", 1, p.n_sketches).alias("keys"), F.array(*_CODE).alias("code")).join(mixed.select("id").distinct(), "id", "left_semi")
+    whole = nodes.select("id", F.slice("keys", 1, p.n_sketches).alias("keys"), "code").join(mixed.select("id").distinct(), "id", "left_semi")
     blocks = F.ceil(F.col("members") / p.crowd)
     rows = mixed.select("key", "id", "n", "root", (F.col("root") == F.col("largest")).alias("far"), blocks.alias("blocks"))
     small = rows.where("not far").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumn("small", F.lit(True))
@@ -339,7 +346,7 @@ def _buckets(nodes: DataFrame, folder: str) -> DataFrame:
     shared = banded.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("hi")).where("centre < hi").select("key", "centre")
     # numbers of words and codes join the few rows that share a key, not all of them
     found = materialise(banded.join(shared, "key").select("key", "id", "centre"), f"{folder}-ids")
-    return materialise(found.join(nodes.select("id", "n", *_folded()), "id").select("key", "id", "n", "centre", *_FOLD), folder)
+    return materialise(found.join(nodes.select("id", "n", *_FOLD), "id").select("key", "id", "n", "centre", *_FOLD), folder)
 
 
 def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,26 +355,27 @@ def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: s
     folder = new_folder(spark, "near-dup")
     docs = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = materialise(_sketched(docs, p), f"{folder}/sketches")
-    nodes = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n"), F.first("keys").alias("keys"), *[F.first(s).alias(s) for s in _CODE])
+    nodes = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_words").alias("n"), *[F.first(c).alias(c) for c in ("keys", "code", *_FOLD)])
     nodes = nodes.where("id is not null")
     members = _buckets(nodes, f"{folder}/buckets")
     seen = materialise(_star(members.withColumn("root", F.col("id")), p), f"{folder}/star")
     links = materialise(_verified(seen, docs, p, f"{folder}/star-texts"), f"{folder}/links")
-    roots = materialise(components(links, f"{folder}/first"), f"{folder}/roots")
+    roots = stars(links, f"{folder}/first")
 
     # buckets of several components: other centres first, so that loose groups grow together without their pairs
     for turn in range(p.turns):
-        mixed = materialise(_mixed(_placed(members.drop("centre"), roots)).drop("root", "largest", "members"), f"{folder}/mixed-{turn}")
+        mixed = materialise(_mixed(_placed(members.drop("centre"), roots)).drop("root"), f"{folder}/mixed-{turn}")
         star = materialise(_star(_placed(_centred(mixed, turn), roots), p).join(seen, ["a", "b"], "left_anti"), f"{folder}/star-{turn}")
-        links = links.unionByName(materialise(_verified(star, docs, p, f"{folder}/star-texts-{turn}"), f"{folder}/links-{turn}"))
-        roots = materialise(components(links, f"{folder}/turn-{turn}"), f"{folder}/roots-{turn}")
+        links = materialise(_verified(star, docs, p, f"{folder}/star-texts-{turn}"), f"{folder}/links-{turn}")
+        roots = stars(_grown(roots, links), f"{folder}/turn-{turn}")
         members, seen = mixed, seen.unionByName(star)
-
+    
     # then all pairs of a bucket that are still in different components
-    cross = _cross(_mixed(_placed(members.drop("centre"), roots)), nodes, p).join(seen, ["a", "b"], "left_anti")
+    mixed = materialise(_mixed(_placed(members.drop("centre"), roots)), f"{folder}/mixed")
+    cross = _cross(_sized(mixed), nodes, p).join(seen, ["a", "b"], "left_anti")
     cross = materialise(cross, f"{folder}/cross")
     more = materialise(_verified(cross, docs, p, f"{folder}/cross-texts"), f"{folder}/more")
-    roots = materialise(components(links.unionByName(more), f"{folder}/last"), f"{folder}/classes")
+    roots = stars(_grown(roots, more), f"{folder}/last")
 
     copies = nodes.select("d1", "d2", F.col("id").alias("copy_of")).join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left").select("d1", "d2", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
     out = rows.select("doc_id", "d1", "d2", "n_words").join(copies, ["d1", "d2"], "left")

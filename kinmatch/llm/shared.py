@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
@@ -72,6 +72,13 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, path: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialise``, and aggregates of its rows taken while they are written, without a query of their own."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), path)
+    return out, seen.get
+
+
 def written(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table of given rows, in one partition, made without Python workers.
 

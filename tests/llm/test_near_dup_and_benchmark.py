@@ -231,3 +231,15 @@ def test_pairs_of_crowded_buckets_are_compared(spark):
         docs[len(docs)] = f"{passage} {changed(r, own, 6)}"
     got = near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), OrderMinHash(crowd=8)).collect()
     assert {x["doc_id"]: x["class_id"] for x in got} == classes_by_brute_force(docs)
+
+
+def test_the_driver_plans_few_queries(spark, corpus):
+    def started() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId()
+
+    docs = spark.createDataFrame(list(corpus.items()), "doc_id bigint, text string")
+    docs.count()
+    before = started()
+    assert near_duplicates(docs).count() == len(corpus)
+    assert started() - before <= 24  # each one's plans, stages and threads take the driver's memory
