@@ -11,6 +11,9 @@ documents that line dedup leaves without a word are copies of each other, so the
 one of the smallest id goes on, with its empty text; ties go to the smaller id;
 very long texts are taken whole; further columns, of any names, are kept as they
 are; an empty table gives an empty result.
+
+All stages share the executors, whose heaps would stay as large as any stage made
+them: before and within stages heaps are collected, so that Python workers have room.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from kinmatch.llm.line_dedup import LineStore, line_dedup
 from kinmatch.llm.near_dup import near_duplicates
 from kinmatch.llm.piece_sampling import sample_segmentations
 from kinmatch.llm.quality_rules import kept_documents
-from kinmatch.llm.shared import new_folder, without
+from kinmatch.llm.shared import collected, new_folder, without
 
 #: The last stage can't be expressed in SQL; tests hold all stages against brute force.
 ORACLE_SQL = None
@@ -38,8 +41,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document of smaller id holds."""
+    collected(spark)
     store = LineStore(spark, new_folder(spark, "pipeline-lines"), n_shards=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     store.insert(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    collected(spark)
     # the other columns travel in one of their own, so their names can't clash with the operator's
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     out = line_dedup(docs.select("doc_id", "text", *([F.struct(*others).alias("document")] if others else [])), store)
@@ -49,12 +54,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that of the smallest id."""
-    classes = near_duplicates(docs)
+    classes = near_duplicates(docs, sparing=True)
     return without(docs, classes.where("doc_id <> class_id"), new_folder(spark, "pipeline-copies"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item."""
+    collected(spark)
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without(docs, found, new_folder(spark, "pipeline-benchmark"))
 

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from kinmatch.llm import alignment
 from kinmatch.llm import textkernel as tk
 from kinmatch.llm.components import stars
-from kinmatch.llm.shared import materialise, narrowed, new_folder, observed, tidy
+from kinmatch.llm.shared import collected, materialise, narrowed, new_folder, observed, tidy
 
 
 @dataclass(frozen=True)
@@ -349,9 +349,14 @@ def _buckets(nodes: DataFrame, folder: str) -> DataFrame:
     return materialise(found.join(nodes.select("id", "n", *_FOLD), "id").select("key", "id", "n", "centre", *_FOLD), folder)
 
 
-def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the smallest id of its class), copy_of (the smallest id of equal words), n_words."""
+def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: str = "doc_id", text_col: str = "text", sparing: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (the smallest id of its class), copy_of (the smallest id of equal words), n_words.
+
+    ``sparing`` collects the executors' heaps before each phase, with the same rows: where other steps run in the same executors.
+    """
     spark = docs.sparkSession
+    spare = collected if sparing else lambda _: None
+    spare(spark)
     folder = new_folder(spark, "near-dup")
     docs = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = materialise(_sketched(docs, p), f"{folder}/sketches")
@@ -364,6 +369,7 @@ def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: s
 
     # buckets of several components: other centres first, so that loose groups grow together without their pairs
     for turn in range(p.turns):
+        spare(spark)
         mixed = materialise(_mixed(_placed(members.drop("centre"), roots)).drop("root"), f"{folder}/mixed-{turn}")
         star = materialise(_star(_placed(_centred(mixed, turn), roots), p).join(seen, ["a", "b"], "left_anti"), f"{folder}/star-{turn}")
         links = materialise(_verified(star, docs, p, f"{folder}/star-texts-{turn}"), f"{folder}/links-{turn}")
@@ -371,12 +377,14 @@ def near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash(), id_col: s
         members, seen = mixed, seen.unionByName(star)
     
     # then all pairs of a bucket that are still in different components
+    spare(spark)
     mixed = materialise(_mixed(_placed(members.drop("centre"), roots)), f"{folder}/mixed")
     cross = _cross(_sized(mixed), nodes, p).join(seen, ["a", "b"], "left_anti")
     cross = materialise(cross, f"{folder}/cross")
     more = materialise(_verified(cross, docs, p, f"{folder}/cross-texts"), f"{folder}/more")
     roots = stars(_grown(roots, more), f"{folder}/last")
 
+    spare(spark)
     copies = nodes.select("d1", "d2", F.col("id").alias("copy_of")).join(roots.withColumnRenamed("node", "copy_of"), "copy_of", "left").select("d1", "d2", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
     out = rows.select("doc_id", "d1", "d2", "n_words").join(copies, ["d1", "d2"], "left")
     known = F.col("doc_id").isNotNull()

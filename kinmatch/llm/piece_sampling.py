@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinmatch.llm import textkernel as tk
 from kinmatch.llm.piece_model import Lattice, LatticeStore, PieceModel
-from kinmatch.llm.shared import narrowed, release, release_early, tidy
+from kinmatch.llm.shared import collected, narrowed, release, release_early, tidy
 
 #: Strings are told apart, and their lattices built, once for so many bytes of text.
 CHUNK_BYTES = 1 << 19
@@ -317,10 +317,12 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = 2, theta: fl
 
     With ``digests``, ids are given as their number and SHA-256 (32-bit little-endian), with a round trip through
     ``decode`` in ``decoded_equal``. ``sparing`` takes less memory and more time, with the same rows: for workers beside
-    a heap that earlier steps have filled.
+    a heap that earlier steps have filled, which is collected first.
     """
     with open(model_file, "rb") as file:
         sent = docs.sparkSession.sparkContext.broadcast(file.read())
+    if sparing:
+        collected(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sparing:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline as cp
 from tests.llm.helpers import edited, text
 from tests.llm.test_near_dup_and_benchmark import classes_by_brute_force, found_by_brute_force
@@ -61,3 +63,17 @@ def test_odd_and_no_rows(spark, tmp_path):
         assert sorted((x["doc_id"] for x in frame.collect()), key=str) == sorted([1, 4, 5, 5, 7, None, None] if some else [], key=str)
         out = cp.run(spark, str(folder)).collect()
         assert len(out) == (2 * 6 + 1 if some else 0)  # two samples each, one of the empty text
+
+
+@pytest.mark.parametrize("stage", [f for name, f in cp.STAGES if name != "quality rules"], ids=lambda f: f.__name__)
+def test_stages_give_back_the_heap_that_earlier_ones_filled(spark, tmp_path, stage):
+    r = random.Random(5)
+    spark.createDataFrame([(d, text(r, 40)) for d in range(4)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, text(r, 30))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    sc = spark.sparkContext  # the only executor of a local session
+    garbage = sc._gateway.new_array(sc._jvm.long, 1 << 27)
+    before = sc._jvm.java.lang.Runtime.getRuntime().totalMemory()
+    sc._gateway._gateway_client.garbage_collect_object(garbage._target_id, False)  # at once: the JVM holds it no longer
+    stage(spark, docs, str(tmp_path))
+    assert before > 1 << 30 and sc._jvm.java.lang.Runtime.getRuntime().totalMemory() < before - (1 << 28)
